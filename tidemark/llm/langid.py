@@ -196,15 +196,17 @@ def _lookup(buf, starts, ends, keys, p, mark: bytes) -> tuple[np.ndarray, np.nda
     return out, number
 
 
-def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows id_col, lang_pred, score of docs by a model from train()."""
+def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of the columns in keep (by default id_col), lang_pred and score of docs, by a model from train()."""
     languages, p, prior = model
-    types = dict(docs.select(F.col(id_col).alias("_id")).dtypes)
+    keep = (id_col,) if keep is None else keep
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), letter.alias("_letter"))
+    rows = docs.select(letter.alias("_letter"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+    types = dict(rows.dtypes)
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
 
     if not languages:
-        return rows.select(F.col("_id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(*own, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     mark = p.tobytes()[:4096] + repr(languages).encode()
 
     def run(batches):
@@ -222,11 +224,12 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                         total[:, i] += np.bincount(doc, weights=scores[number, i], minlength=count)
                 best = total.argmax(axis=1)
                 sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                letters = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                letters = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
                 best, sure = np.where(letters, best, len(languages)), np.where(letters, sure, 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(sure, pa.float64())], names=["_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(names[best].tolist(), pa.string()), pa.array(sure, pa.float64())], names=[*[f"_{i}" for i in range(len(keep))], "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"_id {types['_id']}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    schema = ", ".join([*[f"_{i} {types[f'_{i}']}" for i in range(len(keep))], "lang_pred string", "score double"])
+    return rows.mapInArrow(run, schema).select(*own, "lang_pred", "score")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, most: int = WORDS):
