@@ -1,8 +1,89 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, exact and near duplicates, benchmark decontamination, byte-level BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents,
+with the rows that stay as they came. A stage sees all that the one before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontam, exactdedup, jaccard, langid
+from tidemark.llm.common import Stage, bounded_filter, maybe, table
+
+#: A text goes when it has no letter or when no language is likelier than this.
+LEAST_SCORE = 0.5
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in gone (a null id matches a null id). Only rows that a filter of bounded size can't clear are shuffled."""
+    bits = bounded_filter(gone, id_col)
+    marked = maybe(docs, F.col(id_col), bits)
+    doubt = marked.where("_maybe").select(docs.columns)
+    ids = gone.select(F.col(id_col).alias("_gone")).distinct()
+    stay = doubt.join(ids, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where("not _maybe").select(docs.columns).unionByName(stay)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter go, and those that no learned language accounts for."""
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    if not model[0]:  # nothing to learn from
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = langid.predict(docs, model, keep=tuple(docs.columns))
+    return found.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays, that with the largest doc_id."""
+    stage = Stage(spark, "copies")
+    found = exactdedup.exact_dedup(docs).select("doc_id", "_sha", "kept")
+    found = stage.write(found.where("_sha is not null").groupBy("doc_id", "_sha").agg(F.max("kept").alias("kept"), F.min("kept").alias("_all")), "verdicts")
+    # An id has several rows only where documents repeat ids; so text hashes are compared as well.
+    doubtful = stage.write(found.where("not _all"), "doubtful")
+    marked = maybe(docs, F.col("doc_id"), bounded_filter(doubtful, "doc_id"))
+    doubt = marked.where("_maybe").withColumn("_sha", F.unhex(F.sha2(exactdedup.normalised(F.col("text")), 256)))
+    gone = doubtful.where("not kept").select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_gone"))
+    stay = doubt.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "_sha"])
+    return marked.where("not _maybe").select(docs.columns).unionByName(stay.select(docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays, that with the least doc_id."""
+    found = jaccard.jaccard_classes(docs).where("not (doc_id <=> component_id)")
+    return without(docs, Stage(spark, "near").write(found.select("doc_id"), "gone"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, Stage(spark, "leaks").write(found.select("doc_id").distinct(), "gone"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and the ids of each document, with hashes of the ids and of the bytes that they decode to."""
+    encoded = bpe.encode(docs, keep=("lang", "source"))
+    decoded = bpe.decode(encoded.withColumn("_ids", F.col("ids")), "_ids")
+    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("byte-level BPE", encode),
+]
+
+#: SQL expresses neither the language model, the edit distance nor the encoder; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next reads it."""
+    stage = Stage(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage.write(step(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
