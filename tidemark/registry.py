@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+import importlib
+import pkgutil
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+FLAGSHIP = "search_bm25_docs"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The given tables as attributes, each read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers f(Tables) -> DataFrame under its name, with the SQL that gives the same rows."""
+
+    def register(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from . import plans
+
+    for module in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"{plans.__name__}.{module.name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
