@@ -316,12 +316,12 @@ def fit(pages: list[str], rounds: int = 60, rate: float = 0.5) -> tuple[dict[str
                 for k, v in enumerate(((1 - x) * (1 - on0), (1 - x) * on0, x * (1 - on1), x * on1)):
                     pair[kind][k] -= v
         for f, g in grad.items():
-            g = g / total - 0.0005 * unary[f]
+            g = g / total - 0.00003 * unary[f]
             moved[f] += g * g
             unary[f] += rate * g / (math.sqrt(moved[f]) + 1e-6)
         for kind in (0, 1):
             for k in range(4):
-                g = pair[kind][k] / total - 0.0005 * tie[kind][k]
+                g = pair[kind][k] / total - 0.00003 * tie[kind][k]
                 shift[kind][k] += g * g
                 tie[kind][k] += rate * g / (math.sqrt(shift[kind][k]) + 1e-6)
     return dict(unary), tie

@@ -126,7 +126,7 @@ def fit(nodes: dict, chain: dict, skip: dict, steps: int = 300) -> dict:
     y = np.array([max(label, 0) for _, label in nodes], dtype=int)
     n = np.array(list(nodes.values()), dtype=float)
     w = np.zeros((13, len(LABELS)))
-    w[0, 0] = 2.0  # without a sample: none
+    w[0, 0] = 1.0  # without a sample: none
     for _ in range(steps if len(n) else 0):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -139,7 +139,7 @@ def fit(nodes: dict, chain: dict, skip: dict, steps: int = 300) -> dict:
     # How far neighbours' labels depend on each other, beyond how frequent they are.
     t = np.log(t * t.sum() / (t.sum(axis=1, keepdims=True) * t.sum(axis=0, keepdims=True)))
     agree, differ = skip.get(True, 0) + 1, skip.get(False, 0) + 1
-    return {"unary": w, "chain": np.clip(t, -1, 1), "skip": float(np.clip(math.log(agree / differ), FAILED, FAILED + 2))}
+    return {"unary": w, "chain": np.clip(t, -1, 1), "skip": float(np.clip(math.log(agree / differ), FAILED + 2, FAILED + 4))}
 
 
 def infer(nodes: list, model: dict, rounds: int = ROUNDS) -> np.ndarray:
