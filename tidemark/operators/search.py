@@ -142,13 +142,18 @@ def holds(node: Node, w: Column) -> Column:
         return F.contains(joined, F.lit(" " + " ".join(node.parts) + " "))
     if node.kind == "near":
         at = F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i")))
-        places = [F.transform(F.filter(at, lambda s, t=t: s["w"] == t), lambda s: s["i"]) for t in node.parts]
+        of = lambda t: F.transform(F.filter(at, lambda s: s["w"] == t), lambda s: s["i"])
+        places = [of(t) for t in node.parts]
         # Some place of the first word has all others within gap + 1.
-        return F.exists(places[0], lambda i: _all([F.exists(p, lambda j: F.abs(i - j) <= node.gap + 1) for p in places[1:]] or [F.lit(True)]))
+        return F.exists(places[0], lambda i: _all([_within(p, i, node.gap + 1) for p in places[1:]] or [F.lit(True)]))
     a, b = (holds(p, w) for p in node.parts)
     return a & b if node.kind == "and" else a | b if node.kind == "or" else a & ~b
 
 
+def _within(places: Column, i: Column, most: int) -> Column:
+    return F.exists(places, lambda j: F.abs(i - j) <= most)
+
+
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

@@ -21,7 +21,7 @@ def frontmatter(text: Column, *names: str) -> list[Column]:
 def sections(docs: DataFrame, text: str, mark: str = "## ") -> DataFrame:
     """Rows of docs' columns, section_no, heading and section body: the text cut before each line that begins with mark."""
     parts = F.filter(F.split(text, rf"(?m)^(?={mark})"), lambda p: p.startswith(mark))
-    return docs.select("*", F.posexplode(parts).alias("section_no", "_s")).select(*docs.columns, "section_no", F.trim(F.regexp_extract("_s", rf"^{mark}(.*)", 1)).alias("heading"), F.trim(F.regexp_replace("_s", r"^.*\n?", "")).alias("section"))
+    return docs.select("*", F.posexplode(parts).alias("section_no", "_s")).select(*docs.columns, "section_no", F.trim(F.regexp_extract("_s", rf"^{mark}(.*)", 1)).alias("heading"), F.regexp_replace("_s", r"^.*\s*|\s+$", "").alias("section"))
 
 
 def audit_entries(docs: DataFrame, text: str = "content") -> DataFrame:
@@ -108,7 +108,7 @@ def human_part(text: Column, fence: str) -> Column:
 
 def commits(text: Column) -> Column:
     """Records of a git log: fields between NULs, records between record separators."""
-    fields = lambda r: F.split(F.ltrim(r), "\x00")
+    fields = lambda r: F.split(F.regexp_replace(r, r"^\s+", ""), "\x00")
     return F.transform(F.filter(F.split(text, "\x1e"), lambda r: F.trim(r) != ""), lambda r: F.struct(*[F.get(fields(r), i).alias(n) for i, n in enumerate(("hash", "author", "email", "date", "subject", "body"))]))
 
 
