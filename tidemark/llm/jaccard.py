@@ -9,7 +9,7 @@ region holds the documents at projected distance 0 from it.
   at most k of the g sub-universes. A document is replicated to its k + 1 fullest regions (k by its own size, in one
   global order): two documents within the threshold then share a region. g depends on a band of sizes; a
   document so near the next band that a partner may be there is replicated to that one as well.
-* Triangle inequality. With the empty set as pivot in each of 32 fixed sub-universes, the distance to it is the number
+* Triangle inequality. With the empty set as pivot in each of 64 fixed sub-universes, the distance to it is the number
   of shingles there, so the sum of those differences bounds the symmetric difference from below; pairs beyond it go.
 * Recursion. A region that holds several classes of documents and more than LIMIT of them is joined
   recursively: with one more region per document, partners share two, so the region is cut by each second one.
@@ -30,8 +30,8 @@ from .common import Stage, bounded_filter, components, keep_likely
 from .words import mix, shingles, slices
 
 WIDTH, PERCENT = 4, 85
-LIMIT, DEEPEST, BLOCK = 512, 2, 512
-SKETCH = 32
+LIMIT, DEEPEST, BLOCK = 4096, 2, 2048
+SKETCH = 64
 #: Centres with more partners than this are dealt to several tasks.
 FAN = 1024
 
@@ -175,11 +175,13 @@ def _crossing(plan: Plan):
 
     def pairs(rows):
         side, cid, label, n = (np.array(x, dtype=np.int64) for x in rows[:4])
-        sk = np.frombuffer(b"".join(rows[4]), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        sk = np.frombuffer(b"".join(rows[4]), dtype=np.uint8).reshape(-1, SKETCH)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        other = sk[right]
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
-            gap = np.abs(sk[i][:, None, :] - sk[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            x, y = sk[i][:, None, :], other[None, :, :]
+            gap = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=2, dtype=np.uint16).astype(np.int64)
             both = n[i][:, None] + n[right][None, :]
             # |x - y| <= spread % of the union, and the union is (sum + difference) / 2
             ok = (label[i][:, None] != label[right][None, :]) & (200 * gap <= spread * (both + gap)) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= plan.percent * np.maximum(n[i][:, None], n[right][None, :]))
@@ -188,23 +190,30 @@ def _crossing(plan: Plan):
             yield np.minimum(cid[i][p], cid[right][q]), np.maximum(cid[i][p], cid[right][q])
 
     def run(batches):
-        now, rows, seen = None, [[] for _ in range(5)], np.zeros((0, 2), np.int64)
+        now, rows, ready = None, [[] for _ in range(5)], []
 
-        def flush():
-            for a, b in pairs(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in ready])) for i in (0, 1)], schema=schema)
+            ready.clear()
+            return batch
+
+        def closed(rows):
+            for found in pairs(rows) if len(rows[0]) > 1 else ():
+                ready.append(found)
+                if sum(len(x[0]) for x in ready[-1:]) > 100_000 or len(ready) > 500:
+                    yield made()
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(8)]
             for key, x, y, *rest in zip(*cols, strict=True):
                 if (key, x, y) != now:
-                    if len(rows[0]) > 1:
-                        yield from flush()
+                    yield from closed(rows)
                     now, rows = (key, x, y), [[] for _ in range(5)]
                 for to, v in zip(rows, rest, strict=True):
                     to.append(v)
-        if len(rows[0]) > 1:
-            yield from flush()
+        yield from closed(rows)
+        if ready:
+            yield made()
 
     return run, "a long, b long"
 
@@ -243,7 +252,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drawn = mixed.groupBy("key").agg(F.min_by(F.struct("cid", "label"), F.xxhash64("key", "cid")).alias("c"))
         again = mixed.join(stage.write(drawn, "drawn"), "key").where("label <> c.label").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
         found = stage.write(found.union(_check(stage, again, sets, percent)), "links")
-        labels = stage.write(components(found, stage), "labels")
+        labels = stage.write(components(found, stage).withColumnRenamed("node", "cid"), "labels")
     pairs = _pairs(stage, _mixed(stage, shared.select("key", "cid"), labels), classes, plan, limit, deepest, block)
     found = stage.write(found.union(_check(stage, pairs, sets, percent)), "links")
     roots = stage.write(components(found, stage).withColumnRenamed("node", "cid"), "roots")
