@@ -50,7 +50,7 @@ def _scored(t: Tables):
     return rows.withColumn("score", F.col("score") + F.col("_long"))
 
 
-@query(f"SELECT conv_id, turn, round(score, 4) AS score FROM ({_SCORES})")
+@query(f"SELECT conv_id, turn, round(CAST(score AS DOUBLE), 4) AS score FROM ({_SCORES})")
 def segment_boundaries(t: Tables):
     return _scored(t).select("conv_id", "turn", F.round("score", 4).alias("score"))
 

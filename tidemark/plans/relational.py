@@ -217,7 +217,7 @@ def file_vs_cursor(t: Tables):
     return rel.cursor_state(files, cursors, "doc_id").select("doc_id", "state")
 
 
-@query("""SELECT doc_id, kind, weight FROM (SELECT doc_id, 'decision' AS kind, 1.0 AS weight FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'compaction', 0.8 FROM documents WHERE lang = 'fr'
+@query("""SELECT doc_id, kind, CAST(weight AS DOUBLE) AS weight FROM (SELECT doc_id, 'decision' AS kind, 1.0 AS weight FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'compaction', 0.8 FROM documents WHERE lang = 'fr'
 UNION ALL SELECT doc_id, 'note', 1.5 FROM labels WHERE toxic = 0)""")
 def union_corpora_weights(t: Tables):
     arm = lambda df, kind, w: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(w).alias("weight"))
