@@ -186,6 +186,11 @@ def test_extraction(spark):
     assert got[4].text.startswith("unclosed text") and len(got) == 6
 
 
+def test_what_is_not_shown():
+    page = '<article><h1>Head</h1><p class="overflow-hidden">a paragraph of some length that is shown to the reader</p><p hidden>never one</p><p style="color:red; display: none">never two</p><p>another paragraph of some length, shown as well</p></article>'
+    assert html.extract_text(page, html.trained()).split("\n") == ["Head", "a paragraph of some length that is shown to the reader", "another paragraph of some length, shown as well"]
+
+
 def test_marginals_are_exact_on_a_small_tree():
     import itertools
     import math

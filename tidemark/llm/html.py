@@ -46,6 +46,9 @@ _TAG = re.compile(
 )
 _HINT = re.compile(r"(?:\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
+_NO_DISPLAY = re.compile(r"\bstyle\s*=\s*[\"'][^\"']*\bdisplay\s*:\s*none", re.I)
 
 
 @functools.lru_cache(maxsize=None)
@@ -53,6 +56,11 @@ def _closing(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
 
 
+def _unseen(attrs: str) -> bool:
+    """Whether an element has the attribute hidden or a style that doesn't display it."""
+    return "hidden" in attrs and bool(_HIDDEN.search(_QUOTED.sub("", attrs))) or "none" in attrs and bool(_NO_DISPLAY.search(attrs))
+
+
 class Node:
     __slots__ = ("tag", "parent", "hints", "chars", "linked", "odds", "up", "label", "dead")
 
@@ -125,7 +133,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         parent = stack[-1]
         hints = " ".join(w for h in _HINT.finditer(attrs) for w in _WORD.findall((h[2] or h[3] or h[4] or "").lower())) if "=" in attrs else ""
-        nodes.append(Node(name, parent, hints, nodes[parent].dead or name in NEVER or bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?until)", attrs)) or 'display:none' in attrs.replace(" ", "")))
+        nodes.append(Node(name, parent, hints, nodes[parent].dead or name in NEVER or bool(attrs) and _unseen(attrs)))
         if name in RAW:
             close = _closing(name).search(html, at)
             at = close.end() if close else size
