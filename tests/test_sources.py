@@ -75,3 +75,21 @@ def test_paths(spark):
     assert got == {"src/a.py": False, "build/x.o": True, "docs/build/y": True, "build/keep.txt": False}
     one = spark.createDataFrame([("h\x00A\x00a@b\x002024\x00sub\x00body\x1e\nh2\x00B\x00b@b\x002025\x00s2\x00\x1e",)], "t string")
     assert [r.hash for r in one.select(markdown.commits(F.col("t")).alias("c")).first().c] == ["h", "h2"]
+
+
+def test_feeds(spark, tmp_path):
+    from tidemark.sources import feeds
+
+    (tmp_path / "pricing-2024-01-02.json").write_text(json.dumps({"m": {"input_cost_per_token": "3e-6", "output_cost_per_token": 1.5e-5}, "empty": {"mode": "chat"}}))
+    (tmp_path / "other.json").write_text("{}")
+    got = feeds.rate_cards(spark, str(tmp_path)).collect()
+    assert [(str(r.day), r.model, r.input, r.output) for r in got] == [("2024-01-02", "m", 3e-6, 1.5e-5)]
+    lines = lambda *rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    items = feeds.repository_items(lines({"repo": "r", "number": 1, "state": "OPEN", "headRefName": "b", "updatedAt": "2024-01-01T00:00:00Z", "title": "a"}, {"repo": "r", "number": 1, "state": "CLOSED", "headRefName": "b", "mergedAt": "x", "updatedAt": "2024-01-02T00:00:00Z", "title": "b"}, {"repo": "r", "number": 2, "state": "OPEN", "labels": [{"name": "bug"}]}))
+    assert {(r.kind, r.number, r.state, r.title) for r in items.collect()} == {("pr", 1, "merged", "b"), ("issue", 2, "open", None)}
+    runs = feeds.ci_runs(lines({"databaseId": 5, "conclusion": "failure", "log": "\n".join(map(str, range(80)))}, {"databaseId": 6, "conclusion": "success", "log": "x"}), lines=2).orderBy("run_id").collect()
+    assert [(r.run_id, r.log_tail) for r in runs] == [(5, "78\n79"), (6, None)]
+    costs = feeds.settled_costs(lines({"date": "2024-01-01", "amount": "2.5", "fetched_at": "1"}, {"date": "2024-01-01", "amount": 3, "fetched_at": "2"})).collect()
+    assert [(str(r.day), r.cost) for r in costs] == [("2024-01-01", 3.0)]
+    ps = spark.createDataFrame([("PID CPU RSS CMD\n 12 0.5 2048 agent --resume abc\n13 1 1 sh",)], "t string").select(F.explode(feeds.processes(F.col("t"))).alias("p")).select("p.*")
+    assert [(r.session_id, r.pid) for r in feeds.live_sessions(ps, spark.createDataFrame([("abc",), ("x",)], "session_id string")).collect()] == [("abc", 12)]
