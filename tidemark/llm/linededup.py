@@ -1,21 +1,21 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame operations only.
 
 Lines are compared trimmed and lower-cased. Equal lines become one by a 128-bit hash. For the others each word start
-gives a character shingle (the word, a blank and up to AHEAD characters of what follows), and HASHES minima of its hashes
-make a signature; ROWS of them form a band, and lines that agree in a band are compared. Shingling at word starts keeps the
+gives a character shingle (AHEAD characters from there on, no further than the next word's end), and ROWS * BANDS minima of
+its hashes make a signature; ROWS of them form a band, and lines that agree in a band are compared. Shingling at word starts keeps the
 signature's work to one hash a word; whether two lines are near copies is decided by the exact Jaccard similarity of all
 their character 8-shingles (on UTF-8 bytes), at least 80 %. Links are joined by a distributed union-find, and one line of
 each component stays: the first by document and place.
 
 In a band's bucket each line is first compared with the least one; where lines of different components are left in a
 bucket, with a second centre drawn by hash, and so on for CENTRES rounds: work grows with the bucket, never with its square.
-Minima are aggregated before the shuffle; a bucket's or a text's many rows meet in aggregates and in joins of
-written tables, which Spark can split.
+Minima are aggregated before the shuffle. A family of copies shares BANDS buckets, so its rows are dealt to as many tasks; other
+rows of a text or component meet in aggregates and in joins of written tables, which Spark can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, bounded_filter, components, keep_likely
@@ -32,9 +32,10 @@ def normalised(line: Column) -> Column:
 
 def shingle_set(line: Column, width: int = SHINGLE) -> Column:
     """The distinct character shingles of a line, on its UTF-8 bytes; a shorter line is one shingle."""
-    raw = F.encode(line, "UTF-8")
     last = F.greatest(F.octet_length(line) - width + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(width)))))
+    # The outer array of one makes the bytes a value that the inner function takes as it is; otherwise each step would encode the line anew.
+    made = F.transform(F.array(F.encode(line, "UTF-8")), lambda raw: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(width)))))
+    return F.array_distinct(F.get(made, F.lit(0)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,15 +64,15 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # One number for each distinct line, which later tables go by.
     firsts = stage.write(seen.groupBy("h1", "h2").agg(F.min(place).alias("first")).withColumn("cid", F.monotonically_increasing_id()), "firsts")
 
-    words = F.split(F.regexp_replace("_line", rf"(\S+)\s+(?=(\S.{{0,{AHEAD - 1}}}))", "$1 $2\u0001"), "\u0001")
-    shingled = lines.select(*key, F.explode(words).alias("_s")).select("h1", "h2", F.xxhash64("_s").alias("_x"))
+    words = F.split("_line", " ")
+    pairs_of = F.zip_with(words, F.slice(F.concat(words, F.array(F.lit(""))), 2, F.size(words)), lambda a, b: F.xxhash64(F.left(F.concat(a, F.lit(" "), b), F.lit(AHEAD))))
+    shingled = lines.select(*key, F.explode(pairs_of).alias("_x"))
     minima = [F.min(F.hash("_x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)]
     signatures = shingled.groupBy("h1", "h2").agg(*minima).join(firsts.select("h1", "h2", "cid"), ["h1", "h2"])
     banded = F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + i}" for i in range(rows)]) for b in range(bands)])).alias("bucket")
-    spread = stage.write(signatures.select("cid", banded), "spread")
-    centres = stage.write(spread.groupBy("bucket").agg(F.min("cid").alias("centre"), F.max("cid").alias("last")).where("centre <> last").select("bucket", "centre"), "centres")
-    shared = stage.write(spread.join(centres, "bucket"), "shared")
-    stage.drop(spread)
+    own = Window.partitionBy("bucket")
+    spread = signatures.select("cid", banded).withColumn("centre", F.min("cid").over(own)).withColumn("_last", F.max("cid").over(own))
+    shared = stage.write(spread.where("centre <> _last").drop("_last"), "shared")
 
     # The shingle sets of the lines that share a bucket.
     active = stage.write(shared.select("cid").distinct().join(firsts.select("cid", "h1", "h2"), "cid"), "active")
