@@ -63,9 +63,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of each document, with hashes of the ids and of the bytes that they decode to."""
-    encoded = bpe.encode(docs, keep=("lang", "source"))
-    decoded = bpe.decode(encoded.withColumn("_ids", F.col("ids")), "_ids")
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.encode(docs, keep=("lang", "source"), decoded="decoded")
+    return made.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

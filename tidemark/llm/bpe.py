@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import lean, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 16_384
@@ -100,13 +100,17 @@ def decode_ids(ids: np.ndarray, enc=None, leaf: int = LEAF) -> bytes:
     return decode_ids(ids[:half], enc, leaf) + decode_ids(ids[half:], enc, leaf)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, leaf: int = LEAF, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id_col, the columns in keep, n_tokens, ids (binary, little-endian unsigned 32-bit).
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, leaf: int = LEAF, keep: tuple[str, ...] = (), decoded: str | None = None
+) -> DataFrame:
+    """One row per row of docs: id_col, the columns in keep, n_tokens, ids (binary, little-endian unsigned 32-bit), and where a name
+    is given for it, the bytes that the ids decode to.
 
     Null texts count as empty and have no ids. Repeated rows, ties and null ids stay as they are; other columns
     are left out unless kept. An empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    names = ["_id", *[f"_keep_{i}" for i in range(len(keep))], "n_tokens", "ids", *["_decoded"] * bool(decoded)]
 
     def run(batches):
         enc = encoding(vocabulary)
@@ -114,14 +118,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             for at, count in slices(batch.column(1)):
                 part = batch.slice(at, count)
                 ids = [encode_text(t, enc, leaf) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=["_id", *[f"_keep_{i}" for i in range(len(keep))], "n_tokens", "ids"],
-                )
+                back = [pa.array([decode_ids(x, enc, leaf) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *back], names=names)
 
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"_id {types['_id']}", *[f"_keep_{i} {types[f'_keep_{i}']}" for i in range(len(keep))], "n_tokens long", "ids binary"])
-    return docs.mapInArrow(run, schema).select(F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids")
+    types = dict(docs.dtypes) | {"n_tokens": "long", "ids": "binary", "_decoded": "binary"}
+    schema = ", ".join(f"{n} {types[n]}" for n in names)
+    made = docs.mapInArrow(lean(run), schema)
+    own = [F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids"]
+    return made.select(*own, *[F.col("_decoded").alias(decoded)] * bool(decoded))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabulary: str | None = None, leaf: int = LEAF) -> DataFrame:
@@ -139,4 +143,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabu
 
     types = dict(encoded.dtypes)
     schema = ", ".join([*[f"_{i} {types[f'_{i}']}" for i in range(len(rest))], "_made binary"])
-    return encoded.mapInArrow(run, schema).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)], F.col("_made").alias(to))
+    return encoded.mapInArrow(lean(run), schema).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)], F.col("_made").alias(to))

@@ -18,10 +18,10 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import _MASK, hash_words, raw, slices, word_bounds
+from .words import _MASK, hash_words, lean, raw, slices, word_bounds
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The sample: about so many rows a language (drawn by a hash of the id), its so many most frequent words, at most so many languages.
@@ -30,6 +30,7 @@ PIECE = 8  # bytes of the longest piece, so that a piece is one 64-bit number
 RUN = 24  # a longer run of letters is scored in stretches of so many bytes
 ROUNDS = 6
 CACHE = 400_000
+SLICE = 1 << 20  # bytes of text worked on at once
 
 _OUTSIDE = np.ones(256, dtype=bool)
 _OUTSIDE[97:123] = False
@@ -109,8 +110,8 @@ def score_words(buf, starts, ends, keys, p) -> np.ndarray:
     size = b - a
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        for k in range(0, len(at), 20_000):
-            part = at[k : k + 20_000]
+        for k in range(0, len(at), 10_000):
+            part = at[k : k + 10_000]
             np.add.at(out, of[part], np.log(_forward(_lattice(buf, a[part], int(n), keys), p)[:, -1]))
     return out
 
@@ -162,11 +163,9 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, row
     # Letters other than a-z are bytes from 128 on; the same runs as in scoring.
     word = F.explode(F.split(F.lower(F.col(text_col)), r"[\x00-\x60\x7b-\x7f]+")).alias("word")
     counted = drawn.select(F.col(lang_col).alias("lang"), word).where("word <> ''").groupBy("lang", "word").count()
-    found = []
-    for lang in size:
-        found += [(r["lang"], r["word"], r["count"]) for r in counted.where(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(most).collect()] if len(size) > 8 else []
-    if len(size) <= 8:
-        found = [(r["lang"], r["word"], r["count"]) for r in counted.orderBy(F.desc("count"), "lang", "word").limit(most * len(size)).collect()]
+    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    found = counted.withColumn("_n", top).where(F.col("_n") <= most).collect()  # at most `most` rows a language
+    found = sorted((r["lang"], r["word"], r["count"]) for r in found)
     return found, size
 
 
@@ -212,7 +211,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         keys, names = pieces(), np.array([*languages, "und"])
         for batch in batches:
-            for at, count in slices(batch.column(1)):
+            for at, count in slices(batch.column(1), SLICE):
                 part = batch.slice(at, count)
                 buf, offsets = raw(pc.utf8_lower(part.column(1)), fold=False)
                 starts, ends, before = word_bounds(buf, offsets, _OUTSIDE)
@@ -229,7 +228,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(names[best].tolist(), pa.string()), pa.array(sure, pa.float64())], names=[*[f"_{i}" for i in range(len(keep))], "lang_pred", "score"])
 
     schema = ", ".join([*[f"_{i} {types[f'_{i}']}" for i in range(len(keep))], "lang_pred string", "score double"])
-    return rows.mapInArrow(run, schema).select(*own, "lang_pred", "score")
+    return rows.mapInArrow(lean(run), schema).select(*own, "lang_pred", "score")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, most: int = WORDS):

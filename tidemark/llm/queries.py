@@ -32,9 +32,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"))
-    digest = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    return bpe.decode(digest).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded")
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import lean, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK, OVERLAP, CACHE = 65_536, 512, 1_000_000
@@ -144,5 +144,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         n[i] = count.huge(t)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64())], names=["_id", "n_bytes", "n_tokens"])
 
-    made = docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, n_bytes long, n_tokens long")
+    made = docs.mapInArrow(lean(run), f"_id {dict(docs.dtypes)['_id']}, n_bytes long, n_tokens long")
     return made.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
