@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Bits of the id filter; with 4 KB of bits a row it is at most 256 rows, 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 _ROW_BITS = 32768
+#: Edges that one task of the union-find takes.
+EDGES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,27 +90,23 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     between written tables, whose large partitions Spark splits, and by aggregates that sum up before a shuffle.
     Nodes may be of any orderable type. Null ends and loops are ignored.
     """
-    now = stage.write(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    mark = None
+    pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, mark = stage.write(pairs.distinct(), "edges"), None
+    # As many tasks as there are edges for; where that is one, no partition is large enough to need splitting.
+    tasks = now.count() // EDGES + 1
+    settle = (lambda df, name: stage.write(df.coalesce(tasks), name)) if tasks > 1 else (lambda df, name: df.coalesce(1))
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = stage.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stage.write(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least2 = stage.write(large.groupBy("a").agg(F.min("b").alias("m")), "least2")
-        small = (
-            large.join(least2, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a <> b")
-            .distinct()
-        )
-        before = [now, least, large, least2]
-        now = stage.write(small, "small")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in before:
-            stage.drop(old)
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stage.write(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).coalesce(tasks), "large")
+        least2 = settle(large.groupBy("a").agg(F.min("b").alias("m")), "least2")
+        ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        small = stage.write(large.join(least2, "a").select(ends).select("e.a", "e.b").where("a <> b").distinct().coalesce(tasks), "small")
+        seen = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        for old in (now, least, large, least2):
+            if hasattr(old, "_staged_path"):
+                stage.drop(old)
+        now = small
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = tuple(seen)

@@ -21,13 +21,15 @@ Every link is decided on the whole sets.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, bounded_filter, components, keep_likely
-from .words import mix, shingles, slices
+from .words import lean, mix, shingles, slices
 
 WIDTH, PERCENT = 4, 85
 LIMIT, DEEPEST, BLOCK = 4096, 2, 2048
@@ -169,15 +171,30 @@ def _linked(percent: int):
 
 
 def _crossing(plan: Plan):
-    """Streams rows (key, x, y, side, cid, label, n, sketch) sorted by key, x, y: the pairs of different labels that no bound excludes."""
+    """Streams rows (key, x, y, side, cid, label, n, sketch, regions) sorted by key, x, y: the pairs of different labels that no bound excludes.
+
+    Near copies share many regions; a pair is given out in the least one only. regions: all that a row is in, as far as they are looked at whole.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     spread = 100 - plan.percent
 
-    def pairs(rows):
+    def earlier(key, regions):
+        """For each row bits of the regions before this one that it is in, as far as others are in them too."""
+        before = [[r for r in own if r < key] for own in regions]
+        seen = Counter(r for own in before for r in own)
+        place = {r: i for i, r in enumerate(sorted(r for r, k in seen.items() if k > 1))}
+        bits = np.zeros((len(regions), len(place) // 64 + 1), dtype=np.uint64)
+        for row, own in enumerate(before):
+            for i in (place[r] for r in own if r in place):
+                bits[row, i // 64] |= np.uint64(1 << (i % 64))
+        return bits
+
+    def pairs(key, rows):
+        bits = None
         side, cid, label, n = (np.array(x, dtype=np.int64) for x in rows[:4])
         sk = np.frombuffer(b"".join(rows[4]), dtype=np.uint8).reshape(-1, SKETCH)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        other = sk[right]
+        other, alike = sk[right], not side.any()
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
             x, y = sk[i][:, None, :], other[None, :, :]
@@ -185,33 +202,39 @@ def _crossing(plan: Plan):
             both = n[i][:, None] + n[right][None, :]
             # |x - y| <= spread % of the union, and the union is (sum + difference) / 2
             ok = (label[i][:, None] != label[right][None, :]) & (200 * gap <= spread * (both + gap)) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= plan.percent * np.maximum(n[i][:, None], n[right][None, :]))
-            ok &= cid[i][:, None] != cid[right][None, :]
+            # A block against itself has each pair twice, two blocks have it once.
+            ok &= (cid[i][:, None] < cid[right][None, :]) if alike else (cid[i][:, None] != cid[right][None, :])
             p, q = np.nonzero(ok)
+            if not len(p):
+                continue
+            bits = earlier(key, rows[5]) if bits is None else bits
+            first = ~(bits[i[p]] & bits[right[q]]).any(axis=1)
+            p, q = p[first], q[first]
             yield np.minimum(cid[i][p], cid[right][q]), np.maximum(cid[i][p], cid[right][q])
 
     def run(batches):
-        now, rows, ready = None, [[] for _ in range(5)], []
+        now, rows, ready = None, [[] for _ in range(6)], []
 
         def made():
             batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in ready])) for i in (0, 1)], schema=schema)
             ready.clear()
             return batch
 
-        def closed(rows):
-            for found in pairs(rows) if len(rows[0]) > 1 else ():
+        def closed(now, rows):
+            for found in pairs(now[0], rows) if len(rows[0]) > 1 else ():
                 ready.append(found)
-                if sum(len(x[0]) for x in ready[-1:]) > 100_000 or len(ready) > 500:
+                if len(found[0]) > 100_000 or len(ready) > 500:
                     yield made()
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
+            cols = [batch.column(i).to_pylist() for i in range(9)]
             for key, x, y, *rest in zip(*cols, strict=True):
                 if (key, x, y) != now:
-                    yield from closed(rows)
-                    now, rows = (key, x, y), [[] for _ in range(5)]
+                    yield from closed(now, rows)
+                    now, rows = (key, x, y), [[] for _ in range(6)]
                 for to, v in zip(rows, rest, strict=True):
                     to.append(v)
-        yield from closed(rows)
+        yield from closed(now, rows)
         if ready:
             yield made()
 
@@ -230,7 +253,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stage = Stage(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     run, schema = _signatures(width, plan)
-    sig = stage.write(rows.mapInArrow(run, schema), "signatures")
+    sig = stage.write(rows.mapInArrow(lean(run), schema), "signatures")
     # Equal sets are one class; what follows sees classes only.
     classes = stage.write(
         sig.where("n > 0")
@@ -244,15 +267,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stage.write(
         spread.withColumn("centre", F.min("cid").over(region)).withColumn("_last", F.max("cid").over(region)).where("centre <> _last").drop("_last"), "shared"
     )
-    links = _verify(stage, shared.where("centre <> cid").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), docs, classes, shared, text_col, id_col, width, percent)
-    found, labels, sets = links
-    for _ in range(1):
-        mixed = _mixed(stage, shared.select("key", "cid"), labels)
-        # One more centre for each region that still has several labels, drawn by hash.
-        drawn = mixed.groupBy("key").agg(F.min_by(F.struct("cid", "label"), F.xxhash64("key", "cid")).alias("c"))
-        again = mixed.join(stage.write(drawn, "drawn"), "key").where("label <> c.label").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
-        found = stage.write(found.union(_check(stage, again, sets, percent)), "links")
-        labels = stage.write(components(found, stage).withColumnRenamed("node", "cid"), "labels")
+    found, labels, sets = _verify(stage, shared.where("centre <> cid").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), docs, classes, shared, text_col, id_col, width, percent)
     pairs = _pairs(stage, _mixed(stage, shared.select("key", "cid"), labels), classes, plan, limit, deepest, block)
     found = stage.write(found.union(_check(stage, pairs, sets, percent)), "links")
     roots = stage.write(components(found, stage).withColumnRenamed("node", "cid"), "roots")
@@ -271,7 +286,7 @@ def _verify(stage, pairs, docs, classes, shared, text_col, id_col, width, percen
     bits = stage.write(bounded_filter(wanted, "rep"), "bits")
     run, schema = _sets(width)
     texts = keep_likely(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), F.col("_id"), bits).select("_text")
-    sets = texts.mapInArrow(run, schema).join(wanted.select("cid", "h1", "h2", "n"), ["h1", "h2", "n"]).dropDuplicates(["cid"]).select("cid", "body")
+    sets = texts.mapInArrow(lean(run), schema).join(wanted.select("cid", "h1", "h2", "n"), ["h1", "h2", "n"]).dropDuplicates(["cid"]).select("cid", "body")
     sets = stage.write(sets, "sets")
     found = stage.write(_check(stage, pairs, sets, percent), "links")
     return found, stage.write(components(found, stage), "labels"), sets
@@ -285,7 +300,7 @@ def _check(stage, pairs, sets, percent):
     partners = partners.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "body")
     centres = fans.join(sets.withColumnRenamed("cid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "body")
     run, schema = _linked(percent)
-    return partners.union(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, schema)
+    return partners.union(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(lean(run), schema)
 
 
 def _mixed(stage, regions, labels):
@@ -300,6 +315,8 @@ def _pairs(stage, mixed, classes, plan, limit, deepest, block):
     """Pairs of different labels in mixed regions that no bound excludes; large regions are cut by further pivots first."""
     done, mixed = [], mixed.withColumn("path", F.array("key"))
     every = classes.select("cid", F.concat("near", "more").alias("all"))
+    # A class has at most two regions for each of its sub-universes, so these lists are bounded by its size.
+    whole = mixed.where(f"m <= {limit}").groupBy("cid").agg(F.collect_list("key").alias("regions"))
     for level in range(deepest + 1):
         done.append(mixed.where(f"m <= {limit}").select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "cid", "label"))
         large = mixed.where(f"m > {limit}")
@@ -316,9 +333,9 @@ def _pairs(stage, mixed, classes, plan, limit, deepest, block):
         cut = stage.write(cut, "cut")
         several = stage.write(cut.groupBy("key").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m")).where("u <> v").select("key", "m"), "several")
         mixed = stage.write(cut.join(several, "key"), "mixed")
-    rows = done[0]
+    rows = done[0].join(whole, "cid").select(*done[0].columns, "regions")
     for more in done[1:]:
-        rows = rows.union(more)
-    rows = rows.join(classes.select("cid", "n", "sketch"), "cid").select("key", "x", "y", "side", "cid", "label", "n", "sketch")
+        rows = rows.union(more.withColumn("regions", F.array().cast("array<bigint>")))
+    rows = rows.join(classes.select("cid", "n", "sketch"), "cid").select("key", "x", "y", "side", "cid", "label", "n", "sketch", "regions")
     run, schema = _crossing(plan)
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema).distinct()
