@@ -167,3 +167,26 @@ def test_filter_loses_nothing(spark):
     kept = {x.k for x in common.keep_likely(every, F.col("k"), common.bounded_filter(ids, "k")).collect()}
     assert set(range(0, 5000, 7)) <= kept and len(kept) < 800
     assert common.bounded_filter(ids, "k").count() <= 256
+
+
+def test_lines_of_many_families_in_a_bucket(spark):
+    """Lines that open alike share their buckets; the near ones among them are found whichever line is a bucket's centre."""
+    r = random.Random(3)
+    tail = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(70))
+    tails = [tail() for _ in range(40)]
+    # One word start each, so all lines have one signature whatever follows.
+    lines = [f"{'same-opening'}{t}{end}" for t in tails for end in ("1", "2")]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id: x.keep_id for x in linededup.line_classes(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(lines))}
+
+
+def test_parity_bounds_the_difference(spark):
+    r = random.Random(6)
+    sets = [(i, [r.getrandbits(63) - (1 << 62) for _ in range(r.randint(1, 300))]) for i in range(30)]
+    sets += [(100 + i, s[: len(s) * 9 // 10 + 1]) for i, s in sets]
+    df = spark.createDataFrame(sets, "cid long, s array<bigint>").select("cid", linededup.parities(F.col("s")).alias("p"))
+    words = {x.cid: [v & (2**64 - 1) for v in x.p] for x in df.collect()}
+    for a, x in sets:
+        for b, y in sets:
+            assert sum((u ^ v).bit_count() for u, v in zip(words[a], words[b], strict=True)) <= len(set(x) ^ set(y))

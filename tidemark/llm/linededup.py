@@ -8,7 +8,10 @@ their character 8-shingles (on UTF-8 bytes), at least 80 %. Links are joined by
 each component stays: the first by document and place.
 
 In a band's bucket each line is first compared with the least one; where lines of different components are left in a
-bucket, with a second centre drawn by hash, and so on for CENTRES rounds: work grows with the bucket, never with its square.
+bucket, with a second centre drawn by hash, and so on for CENTRES rounds, so that a family of copies costs as much as its size.
+What then still has different components in a bucket is compared pair by pair, in blocks of BLOCK lines, so any two lines that
+share a bucket are compared or in one component. PARITY words of 64 bits each tell beforehand which pairs can't be near: a bit is
+the parity of the shingles that fall on it, so the bits in which two lines differ are no more than the shingles in which they do.
 Minima are aggregated before the shuffle. A family of copies shares BANDS buckets, so its rows are dealt to as many tasks; other
 rows of a text or component meet in aggregates and in joins of written tables, which Spark can split.
 """
@@ -23,7 +26,8 @@ from .common import Stage, bounded_filter, components, keep_likely
 AHEAD = 12
 ROWS, BANDS = 3, 10
 SHINGLE, PERCENT = 8, 80
-CENTRES = 2
+CENTRES, BLOCK = 2, 512
+PARITY = 4
 
 
 def normalised(line: Column) -> Column:
@@ -82,15 +86,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     links = None
     pairs = shared.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
-    for turn in range(CENTRES):
+    for turn in range(CENTRES + 1):
         found = _check(stage, pairs, sets, percent)
         links = stage.write(found if links is None else links.union(found), "links")
         roots = stage.write(components(links, stage).withColumnRenamed("node", "cid"), "roots")
-        if turn + 1 < CENTRES:
+        if turn < CENTRES:
             labelled = stage.write(shared.select("bucket", "cid").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")), "labelled")
-            drawn = labelled.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.min_by(F.struct("cid", "label"), F.xxhash64("bucket", "cid")).alias("c")).where("u <> v")
-            drawn = stage.write(drawn.select("bucket", "c"), "drawn")
-            pairs = labelled.join(drawn, "bucket").where("label <> c.label").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
+            pairs = _centred(stage, labelled) if turn + 1 < CENTRES else _crossing(stage, labelled, sets, percent)
 
     named = firsts.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     keep = stage.write(named.groupBy("root").agg(F.min("first").alias("keep")), "keep")
@@ -101,6 +103,41 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _centred(stage: Stage, labelled: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a centre drawn in each bucket of several labels with the bucket's lines of other labels."""
+    drawn = labelled.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.min_by(F.struct("cid", "label"), F.xxhash64("bucket", "cid")).alias("c")).where("u <> v")
+    drawn = stage.write(drawn.select("bucket", "c"), "drawn")
+    return labelled.join(drawn, "bucket").where("label <> c.label").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
+
+
+def parities(shingles: Column) -> Column:
+    """PARITY words of 64 bits: each bit the parity of the shingles that fall on it."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda x: F.pmod(F.shiftright(x, 6), F.lit(PARITY))
+    fold = lambda j: F.aggregate(shingles, F.lit(0).cast("long"), lambda seen, x: F.when(word(x) == j, seen.bitwiseXOR(bit(x))).otherwise(seen))
+    return F.array(*[fold(j) for j in range(PARITY)])
+
+
+def _crossing(stage: Stage, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different labels in a bucket that no bound excludes."""
+    several = stage.write(labelled.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m")).where("u <> v").select("bucket", "m"), "several")
+    rows = stage.write(labelled.join(several, "bucket").select("bucket", "cid", "label", "m"), "mixed")
+    bounds = stage.write(sets.join(rows.select("cid").distinct(), "cid").select("cid", F.size("set").alias("n"), parities(F.col("set")).alias("p")), "bounds")
+    # Each line meets its own block and all others of its bucket, a pair of blocks in one task.
+    count = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("cid"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "cid", "label").join(bounds, "cid")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "s", "t")]
+    # A block meets itself with each pair once; two blocks meet as lower and upper.
+    once = F.when(F.col("x.s") == F.col("x.t"), F.col("x.cid") < F.col("y.cid")).otherwise(F.col("x.own") < F.col("y.own"))
+    n, m = F.col("x.n"), F.col("y.n")
+    gap = sum((F.bit_count(F.col("x.p")[j].bitwiseXOR(F.col("y.p")[j])) for j in range(PARITY)), F.lit(0))
+    # The difference is at most 100 - percent % of the union, which is (n + m + difference) / 2.
+    may = (F.col("x.label") != F.col("y.label")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * gap <= (100 - percent) * (n + m))
+    return x.join(y, [*met, once & may]).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
 def _check(stage: Stage, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are near enough; sizes are looked at before the sets are."""
     pairs = stage.write(pairs, "pairs")
