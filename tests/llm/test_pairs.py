@@ -172,10 +172,23 @@ def test_filter_loses_nothing(spark):
 def test_lines_of_many_families_in_a_bucket(spark):
     """Lines that open alike share their buckets; the near ones among them are found whichever line is a bucket's centre."""
     r = random.Random(3)
-    tail = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(70))
-    tails = [tail() for _ in range(40)]
-    # One word start each, so all lines have one signature whatever follows.
-    lines = [f"{'same-opening'}{t}{end}" for t in tails for end in ("1", "2")]
+    some = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    opening = some(60)
+    lines = [t + end for t in [opening + some(20) for _ in range(40)] for end in ("1", "2")]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id: x.keep_id for x in linededup.line_classes(df, rows=1, bands=3).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(lines))}
+
+
+def test_lines_with_few_blanks(spark):
+    """Lines that differ near their only word start, in scripts without blanks as in addresses."""
+    r = random.Random(11)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    lines = []
+    for _ in range(10):
+        url, text, name = some(80), han(80), some(90)
+        lines += [f"https://{url}", f"http://{url}", f"{han(1)}{text}", f"{han(1)}{text}", f"x{name}", f"y{name}"]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {x.doc_id: x.keep_id for x in linededup.line_classes(df).collect()}
     assert got == {i: i // 2 * 2 for i in range(len(lines))}

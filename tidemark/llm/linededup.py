@@ -1,11 +1,9 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame operations only.
 
-Lines are compared trimmed and lower-cased. Equal lines become one by a 128-bit hash. For the others each word start
-gives a character shingle (AHEAD characters from there on, no further than the next word's end), and ROWS * BANDS minima of
-its hashes make a signature; ROWS of them form a band, and lines that agree in a band are compared. Shingling at word starts keeps the
-signature's work to one hash a word; whether two lines are near copies is decided by the exact Jaccard similarity of all
-their character 8-shingles (on UTF-8 bytes), at least 80 %. Links are joined by a distributed union-find, and one line of
-each component stays: the first by document and place.
+Lines are compared trimmed and lower-cased. Equal lines become one by a 128-bit hash. Of the others' character 8-shingles
+(on UTF-8 bytes) ROWS * BANDS minima of hashes make a signature; ROWS of them form a band, and lines that agree in a band are
+compared. Whether two lines are near copies is decided by the exact Jaccard similarity of the same shingles, at least
+80 %. Links are joined by a distributed union-find, and one line of each component stays: the first by document and place.
 
 In a band's bucket each line is first compared with the least one; where lines of different components are left in a
 bucket, with a second centre drawn by hash, and so on for CENTRES rounds, so that a family of copies costs as much as its size.
@@ -23,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import Stage, bounded_filter, components, keep_likely
 
-AHEAD = 12
 ROWS, BANDS = 3, 10
 SHINGLE, PERCENT = 8, 80
 CENTRES, BLOCK = 2, 512
@@ -68,9 +65,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # One number for each distinct line, which later tables go by.
     firsts = stage.write(seen.groupBy("h1", "h2").agg(F.min(place).alias("first")).withColumn("cid", F.monotonically_increasing_id()), "firsts")
 
-    words = F.split("_line", " ")
-    pairs_of = F.zip_with(words, F.slice(F.concat(words, F.array(F.lit(""))), 2, F.size(words)), lambda a, b: F.xxhash64(F.left(F.concat(a, F.lit(" "), b), F.lit(AHEAD))))
-    shingled = lines.select(*key, F.explode(pairs_of).alias("_x"))
+    shingled = lines.select(*key, F.explode(shingle_set(F.col("_line"))).alias("_x"))
     minima = [F.min(F.hash("_x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)]
     signatures = shingled.groupBy("h1", "h2").agg(*minima).join(firsts.select("h1", "h2", "cid"), ["h1", "h2"])
     banded = F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + i}" for i in range(rows)]) for b in range(bands)])).alias("bucket")
