@@ -92,6 +92,19 @@ def test_partners_share_a_region():
         assert len((set(a) | set(more_a)) & (set(b) | set(more_b))) >= 2
 
 
+def test_stars_of_short_texts(spark):
+    """Variants link with their base only, and share so few regions with it that a large region can't be cut for long."""
+    r = random.Random(13)
+    docs = []
+    for n in (9, 10, 11, 12, 13, 24):
+        base = [f"w{r.getrandbits(40)}" for _ in range(n)]
+        docs += [" ".join(base)] + [" ".join([*base, f"v{r.getrandbits(40)}"]) for _ in range(60)]
+    r.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), limit=4, deepest=2, block=16).collect()}
+    assert got == plain_classes(docs)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "z"), (None, None)], "doc_id long, text string")).collect()

@@ -13,7 +13,8 @@ region holds the documents at projected distance 0 from it.
   of shingles there, so the sum of those differences bounds the symmetric difference from below; pairs beyond it go.
 * Recursion. A region that holds several classes of documents and more than LIMIT of them is joined
   recursively: with one more region per document, partners share two, so the region is cut by each second one.
-  What still is too large after DEEPEST cuts is joined in blocks.
+  Partners surely share as many regions of a band as it has sub-universes beyond k; a region is cut only while that
+  is more than the regions it was cut by. What then, or after DEEPEST cuts, still is too large is joined in blocks.
 * A region's documents are first compared with one centre, those links joined into components, and only pairs
   of different components are looked at further, so that a family of near copies costs as much as its size.
 Every link is decided on the whole sets.
@@ -33,6 +34,8 @@ from .words import lean, mix, shingles, slices
 
 WIDTH, PERCENT = 4, 85
 LIMIT, DEEPEST, BLOCK = 4096, 2, 2048
+#: The bits of a region's key that hold how many regions of its band partners surely share, up to DEEPEST + 1.
+ROOM = 3
 SKETCH = 64
 #: Centres with more partners than this are dealt to several tasks.
 FAN = 1024
@@ -48,14 +51,15 @@ class Plan:
         """The most shingles in which a set of n and another within the threshold can differ."""
         return (100 - self.percent) * (100 * n // self.percent) // 100
 
-    def bands(self, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Least size of each band up to size `most`, and its number of sub-universes."""
+    def bands(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least size of each band up to size `most`, its number of sub-universes, and in how many of them partners surely agree."""
         low = [1]
         while low[-1] <= 2 * most:
             low.append(max(low[-1] + 1, int(np.ceil(low[-1] * self.ratio))))
         low = np.array(low)
         k = self.errors(low[1:] - 1)
-        return low[:-1], np.maximum(k + 1, np.ceil(k * self.slack).astype(np.int64) + 1)
+        g = np.maximum(k + 1, np.ceil(k * self.slack).astype(np.int64) + 1)
+        return low[:-1], g, g - k
 
 
 def _region_keys(sets: list[np.ndarray], plan: Plan) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -66,7 +70,7 @@ def _region_keys(sets: list[np.ndarray], plan: Plan) -> list[tuple[np.ndarray, n
     who = np.flatnonzero(k > 0)
     if not len(who):
         return [(empty, empty)] * len(sets)
-    low, cuts = plan.bands(int(sizes.max()))
+    low, cuts, agreed = plan.bands(int(sizes.max()))
     band = np.searchsorted(low, sizes[who], "right") - 1
     up = 100 * sizes[who] >= plan.percent * low[band + 1]  # a partner may be in the next band
     doc, band = np.concatenate([who, who[up]]), np.concatenate([band, band[up] + 1])
@@ -84,6 +88,7 @@ def _region_keys(sets: list[np.ndarray], plan: Plan) -> list[tuple[np.ndarray, n
     owner = np.repeat(np.arange(len(doc)), g)
     place = np.arange(base[-1]) - base[owner]
     key = mix(mix(total + full.astype(np.uint64)) ^ mix((band[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64))).view(np.int64)
+    key = (key & np.int64(~ROOM)) | np.minimum(agreed[band], DEEPEST + 1)[owner]
     best = np.lexsort((place, -full, owner))
     rank = np.arange(base[-1]) - base[owner]  # lexsort keeps each owner's run in place
     want = k[doc][owner]
@@ -322,13 +327,15 @@ def _pairs(stage, mixed, classes, plan, limit, deepest, block):
         large = mixed.where(f"m > {limit}")
         if large.isEmpty():
             break
+        # Partners in a region share another one only if its band, or that of a region it was cut by, has room for it.
+        room = F.array_max(F.transform("path", lambda r: r.bitwiseAND(F.lit(ROOM))))
+        count = F.ceil(F.col("m") / block).cast("int")
+        own = F.pmod(F.xxhash64("cid"), count).cast("int")
+        dealt = (large if level == deepest else large.where(room <= level + 1)).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        done.append(dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "cid", "label"))
         if level == deepest:
-            count = F.ceil(F.col("m") / block).cast("int")
-            own = F.pmod(F.xxhash64("cid"), count).cast("int")
-            dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-            done.append(dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "cid", "label"))
             break
-        cut = large.join(every, "cid").select("path", "cid", "label", F.explode("all").alias("next")).where("not array_contains(path, next)")
+        cut = large.where(room > level + 1).join(every, "cid").select("path", "cid", "label", F.explode("all").alias("next")).where("not array_contains(path, next)")
         cut = cut.select(F.array_sort(F.array_append("path", F.col("next"))).alias("path"), "cid", "label").withColumn("key", F.xxhash64("path")).distinct()
         cut = stage.write(cut, "cut")
         several = stage.write(cut.groupBy("key").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m")).where("u <> v").select("key", "m"), "several")
