@@ -125,7 +125,7 @@ def encode(
     schema = ", ".join(f"{n} {types[n]}" for n in names)
     made = docs.mapInArrow(lean(run), schema)
     own = [F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids"]
-    return made.select(*own, *[F.col("_decoded").alias(decoded)] * bool(decoded))
+    return made.select(*own, *([F.col("_decoded").alias(decoded)] if decoded else []))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabulary: str | None = None, leaf: int = LEAF) -> DataFrame:
