@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the id filter; with 4 KB of bits a row it is at most 256 rows, 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
+#: Least and most bits of an id filter: 1 MB to 16 MB in rows of 4 KB, whatever the input.
+FILTER_BITS, FILTER_MOST = 1 << 23, 1 << 27
 _ROW_BITS = 32768
+#: Frees the shuffle files of a table once it is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Edges that one task of the union-find takes.
 EDGES = 100_000
 
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own if there is one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -40,7 +44,12 @@ class Stage:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         # The schema is known, so that an empty table reads back as well.
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
@@ -52,33 +61,37 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_filter(ids: DataFrame, column: str) -> DataFrame:
-    """At most 256 rows (bucket, bits): a bit for each hash of an id. Its size doesn't depend on the number of ids."""
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+def filter_size(ids: int) -> int:
+    """Bits for so many ids: eight or more each, up to the most; beyond that more rows pass in vain, and none is lost."""
+    return min(max(FILTER_BITS, 1 << (8 * ids - 1).bit_length()), FILTER_MOST) if ids else FILTER_BITS
+
+
+def bounded_filter(ids: DataFrame, column: str, size: int = FILTER_BITS) -> DataFrame:
+    """At most size / 32768 rows (bucket, bits): a bit for each hash of an id."""
+    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(size))
     return (
         ids.select(slot.alias("slot"))
-        .groupBy((F.col("slot") / _ROW_BITS).cast("int").alias("_bucket"))
-        .agg(F.expr(f"bitmap_construct_agg(slot % {_ROW_BITS})").alias("_bits"))
+        .groupBy((F.col("slot") / _ROW_BITS).cast("int").alias("_tm_bucket"))
+        .agg(F.expr(f"bitmap_construct_agg(slot % {_ROW_BITS})").alias("_tm_bits"))
     )
 
 
-def keep_likely(df: DataFrame, key, bits: DataFrame) -> DataFrame:
+def keep_likely(df: DataFrame, key, bits: DataFrame, size: int = FILTER_BITS) -> DataFrame:
     """df's rows whose key may be among the ids of the filter: none of those is lost, a few others may stay. No shuffle of df."""
-    bits = F.broadcast(bits)
-    return maybe(df, key, bits).where("_maybe").drop("_maybe")
+    return maybe(df, key, bits, size).where("_maybe").drop("_maybe")
 
 
-def maybe(df: DataFrame, key, bits: DataFrame) -> DataFrame:
-    """df with a column _maybe: false only where key isn't among the filter's ids."""
-    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    byte = F.expr(f"conv(hex(substring(_bits, cast((_slot % {_ROW_BITS}) div 8 as int) + 1, 1)), 16, 10)").cast("int")
-    hit = F.getbit(byte, (F.col("_slot") % 8).cast("int")) == 1
+def maybe(df: DataFrame, key, bits: DataFrame, size: int = FILTER_BITS) -> DataFrame:
+    """df with a column _maybe: false only where key isn't among the filter's ids. Columns of callers must not be named so, nor begin with _tm_."""
+    slot = F.pmod(F.xxhash64(key), F.lit(size))
+    byte = F.expr(f"conv(hex(substring(_tm_bits, cast((_tm_slot % {_ROW_BITS}) div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    hit = F.getbit(byte, (F.col("_tm_slot") % 8).cast("int")) == 1
     return (
-        df.withColumn("_slot", slot)
-        .withColumn("_bucket", (F.col("_slot") / _ROW_BITS).cast("int"))
-        .join(F.broadcast(bits), "_bucket", "left")
+        df.withColumn("_tm_slot", slot)
+        .withColumn("_tm_bucket", (F.col("_tm_slot") / _ROW_BITS).cast("int"))
+        .join(F.broadcast(bits), "_tm_bucket", "left")
         .withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-        .drop("_slot", "_bucket", "_bits")
+        .drop("_tm_slot", "_tm_bucket", "_tm_bits")
     )
 
 
