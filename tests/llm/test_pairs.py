@@ -162,14 +162,15 @@ def test_lines(spark):
     assert out[92].split("\n")[0] in ("a", "b") and "A" not in out[92]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("native", [True, False])
+def test_components(spark, native):
     r = random.Random(4)
     edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(300 + i, 301 + i) for i in range(30)] + [(500, 500 + i) for i in range(1, 40)]
     s = Sets()
     for a, b in edges:
         s.join(a, b)
     df = spark.createDataFrame([*edges, (None, 1), (2, None)], "a long, b long")
-    got = {x.node: x.root for x in common.components(df, common.Stage(spark, "test")).collect()}
+    got = {x.node: x.root for x in common.components(df, common.Stage(spark, "test"), native).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: s.find(x) for x in linked}
 

@@ -95,9 +95,33 @@ def maybe(df: DataFrame, key, bits: DataFrame, size: int = FILTER_BITS) -> DataF
     )
 
 
-def components(edges: DataFrame, stage: Stage) -> DataFrame:
+def _united(batches):
+    """Rows (node, root) of all edges of one task, by union-find."""
+    import pyarrow as pa
+
+    up: dict = {}
+
+    def find(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([find(x) for x in nodes])], names=["node", "root"])
+
+
+def components(edges: DataFrame, stage: Stage, native: bool = False) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the least node reachable.
 
+    Up to EDGES edges are united in one task, unless the way of column expressions is asked for; more go through rounds.
+
     Alternating stars (large: each larger neighbour goes to the least one; small: each smaller one too),
     every round from one written table to the next. The node that ends as a hub of many edges is met by joins
     between written tables, whose large partitions Spark splits, and by aggregates that sum up before a shuffle.
@@ -106,7 +130,11 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now, mark = stage.write(pairs.distinct(), "edges"), None
     # As many tasks as there are edges for; where that is one, no partition is large enough to need splitting.
-    tasks = now.count() // EDGES + 1
+    many = now.count()
+    if many <= EDGES and not native:
+        kind = dict(now.dtypes)["a"]
+        return now.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}")
+    tasks = many // EDGES + 1
     settle = (lambda df, name: stage.write(df.coalesce(tasks), name)) if tasks > 1 else (lambda df, name: df.coalesce(1))
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

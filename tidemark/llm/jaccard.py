@@ -9,36 +9,40 @@ region holds the documents at projected distance 0 from it.
   at most k of the g sub-universes. A document is replicated to its k + 1 fullest regions (k by its own size, in one
   global order): two documents within the threshold then share a region. g depends on a band of sizes; a
   document so near the next band that a partner may be there is replicated to that one as well.
-* Triangle inequality. With the empty set as pivot in each of 64 fixed sub-universes, the distance to it is the number
-  of shingles there, so the sum of those differences bounds the symmetric difference from below; pairs beyond it go.
 * Recursion. A region that holds several classes of documents and more than LIMIT of them is joined
   recursively: with one more region per document, partners share two, so the region is cut by each second one.
   Partners surely share as many regions of a band as it has sub-universes beyond k; a region is cut only while that
   is more than the regions it was cut by. What then, or after DEEPEST cuts, still is too large is joined in blocks.
-* A region's documents are first compared with one centre, those links joined into components, and only pairs
-  of different components are looked at further, so that a family of near copies costs as much as its size.
+* Components first. Each class is compared with the centre that it shares most regions with, the links are
+  joined into components, and only regions of several components are looked at further, one of those
+  that hold the same classes. There each class is compared with its nearest one of another component, and the components
+  that then still share a region pair by pair. So a family of near copies costs as much as its size.
+* Triangle inequality. A set's sketch has four to eight bits a shingle, each the parity of the shingles that fall on it:
+  the distance to the empty set in each of many parts, modulo 2. Two sets differ in as many shingles at least as
+  their sketches in bits, so pairs beyond the threshold go without a look at the sets.
 Every link is decided on the whole sets.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, bounded_filter, components, keep_likely
+from .common import Stage, bounded_filter, components, filter_size, keep_likely, maybe
 from .words import lean, mix, shingles, slices
 
 WIDTH, PERCENT = 4, 85
-LIMIT, DEEPEST, BLOCK = 4096, 2, 2048
+LIMIT, DEEPEST, BLOCK = 1024, 2, 512
 #: The bits of a region's key that hold how many regions of its band partners surely share, up to DEEPEST + 1.
 ROOM = 3
-SKETCH = 64
+#: Bits of the largest sketch; larger sets have one as large, whose bound is weaker.
+SKETCH = 1 << 17
+#: Bytes of sketches that one step of a task compares.
+STEP = 1 << 25
 #: Centres with more partners than this are dealt to several tasks.
-FAN = 1024
+FAN = 256
 
 
 class Plan:
@@ -103,8 +107,22 @@ def _region_keys(sets: list[np.ndarray], plan: Plan) -> list[tuple[np.ndarray, n
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """Shingles in each fixed sub-universe, up to 255: a cut never makes a difference larger."""
-    return np.minimum(np.bincount((s >> np.uint64(47)) % np.uint64(SKETCH), minlength=SKETCH), 255).astype(np.uint8).tobytes() if len(s) else bytes(SKETCH)
+    """The parity of the shingles that fall on each bit; bits are a power of two, 64 at least."""
+    bits = min(max(64, 4 << (len(s) - 1).bit_length()), SKETCH) if len(s) else 64
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, the larger ones folded to the size of the least."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size), dtype=np.uint8)
+    for i, raw in enumerate(sketches):
+        row = np.frombuffer(raw, dtype=np.uint8)
+        while len(row) > size:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out.view(np.uint64)
 
 
 def _marks(s: np.ndarray) -> tuple[int, int]:
@@ -115,7 +133,7 @@ def _marks(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(width: int, plan: Plan):
-    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("near", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("near", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -125,26 +143,34 @@ def _signatures(width: int, plan: Plan):
                 keys, marks = _region_keys(sets, plan), [_marks(s) for s in sets]
                 listed = lambda j: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x[j]) for x in keys])]).astype(np.int32), np.concatenate([x[j] for x in keys]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary()), listed(0), listed(1)],
-                    schema=schema,
+                    [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), listed(0), listed(1)], schema=schema
                 )
 
-    return run, "_id long, n long, h1 long, h2 long, sketch binary, near array<long>, more array<long>"
+    return run, "_id long, n long, h1 long, h2 long, near array<long>, more array<long>"
 
 
 def _sets(width: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+    schema = pa.schema([("_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for at, count in slices(batch.column(0)):
-                sets = shingles(batch.slice(at, count).column(0), width)
+            for at, count in slices(batch.column(1)):
+                part = batch.slice(at, count)
+                sets = shingles(part.column(1), width)
                 marks = [_marks(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema
+                    [
+                        part.column(0),
+                        pa.array([m[0] for m in marks], pa.int64()),
+                        pa.array([m[1] for m in marks], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([_sketch(s) for s in sets], pa.binary()),
+                    ],
+                    schema=schema,
                 )
 
-    return run, "h1 long, h2 long, n long, body binary"
+    return run, "_id long, h1 long, h2 long, n long, body binary, sketch binary"
 
 
 def _linked(percent: int):
@@ -175,71 +201,56 @@ def _linked(percent: int):
     return run, "a long, b long"
 
 
-def _crossing(plan: Plan):
-    """Streams rows (key, x, y, side, cid, label, n, sketch, regions) sorted by key, x, y: the pairs of different labels that no bound excludes.
-
-    Near copies share many regions; a pair is given out in the least one only. regions: all that a row is in, as far as they are looked at whole.
-    """
+def _crossing(plan: Plan, nearest: bool):
+    """Streams rows (key, x, y, side, cid, label, n, sketch) sorted by key, x, y: the pairs of different labels that no bound excludes; only each row's nearest if asked so."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     spread = 100 - plan.percent
 
-    def earlier(key, regions):
-        """For each row bits of the regions before this one that it is in, as far as others are in them too."""
-        before = [[r for r in own if r < key] for own in regions]
-        seen = Counter(r for own in before for r in own)
-        place = {r: i for i, r in enumerate(sorted(r for r, k in seen.items() if k > 1))}
-        bits = np.zeros((len(regions), len(place) // 64 + 1), dtype=np.uint64)
-        for row, own in enumerate(before):
-            for i in (place[r] for r in own if r in place):
-                bits[row, i // 64] |= np.uint64(1 << (i % 64))
-        return bits
-
-    def pairs(key, rows):
-        bits = None
+    def pairs(rows):
         side, cid, label, n = (np.array(x, dtype=np.int64) for x in rows[:4])
-        sk = np.frombuffer(b"".join(rows[4]), dtype=np.uint8).reshape(-1, SKETCH)
+        sketch = _folded(rows[4])
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        other, alike = sk[right], not side.any()
-        for at in range(0, len(left), 64):
-            i = left[at : at + 64]
-            x, y = sk[i][:, None, :], other[None, :, :]
-            gap = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=2, dtype=np.uint16).astype(np.int64)
+        other, alike = sketch[right], not side.any()
+        step = max(1, STEP // max(8 * other.size, 1))
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
+            gap = np.bitwise_count(sketch[i][:, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int64)
             both = n[i][:, None] + n[right][None, :]
             # |x - y| <= spread % of the union, and the union is (sum + difference) / 2
             ok = (label[i][:, None] != label[right][None, :]) & (200 * gap <= spread * (both + gap)) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= plan.percent * np.maximum(n[i][:, None], n[right][None, :]))
-            # A block against itself has each pair twice, two blocks have it once.
-            ok &= (cid[i][:, None] < cid[right][None, :]) if alike else (cid[i][:, None] != cid[right][None, :])
-            p, q = np.nonzero(ok)
-            if not len(p):
-                continue
-            bits = earlier(key, rows[5]) if bits is None else bits
-            first = ~(bits[i[p]] & bits[right[q]]).any(axis=1)
-            p, q = p[first], q[first]
-            yield np.minimum(cid[i][p], cid[right][q]), np.maximum(cid[i][p], cid[right][q])
+            if nearest:
+                p = np.flatnonzero(ok.any(axis=1))
+                q = np.where(ok[p], gap[p], np.iinfo(np.int64).max).argmin(axis=1) if len(p) else p
+            else:
+                # A block against itself has each pair twice, two blocks have it once.
+                ok &= (cid[i][:, None] < cid[right][None, :]) if alike else (cid[i][:, None] != cid[right][None, :])
+                p, q = np.nonzero(ok)
+            if len(p):
+                yield np.minimum(cid[i][p], cid[right][q]), np.maximum(cid[i][p], cid[right][q])
 
     def run(batches):
-        now, rows, ready = None, [[] for _ in range(6)], []
+        now, rows, ready = None, [[] for _ in range(5)], []
 
         def made():
             batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in ready])) for i in (0, 1)], schema=schema)
             ready.clear()
             return batch
 
-        def closed(now, rows):
-            for found in pairs(now[0], rows) if len(rows[0]) > 1 else ():
+        def closed(rows):
+            for found in pairs(rows) if len(rows[0]) > 1 else ():
                 ready.append(found)
                 if len(found[0]) > 100_000 or len(ready) > 500:
                     yield made()
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(9)]
+            cols = [batch.column(i).to_pylist() for i in range(8)]
             for key, x, y, *rest in zip(*cols, strict=True):
                 if (key, x, y) != now:
-                    yield from closed(now, rows)
-                    now, rows = (key, x, y), [[] for _ in range(6)]
+                    yield from closed(rows)
+                    now, rows = (key, x, y), [[] for _ in range(5)]
                 for to, v in zip(rows, rest, strict=True):
                     to.append(v)
-        yield from closed(now, rows)
+        yield from closed(rows)
         if ready:
             yield made()
 
@@ -252,30 +263,44 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of bytes other than space and 9 to 13, A-Z lower-cased; a set holds the distinct runs of `width` words,
     of a shorter text all its words as one. Two rows link when 100 * intersection >= percent * union. A null or wordless text
     has an empty set and links with nothing. Repeated ids are rows of their own; a null id never names a component while
-    another is there. Ties can't occur: the least id decides. An empty table gives an empty one.
+    another is there. Ties can't occur: the least id decides. Texts of any length are taken whole. Other columns are left out,
+    whatever their names. An empty table gives an empty one.
     """
     spark, plan = docs.sparkSession, Plan(percent)
     stage = Stage(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     run, schema = _signatures(width, plan)
-    sig = stage.write(rows.mapInArrow(lean(run), schema), "signatures")
-    # Equal sets are one class; what follows sees classes only.
-    classes = stage.write(
-        sig.where("n > 0")
-        .groupBy("h1", "h2", "n")
-        .agg(F.min("_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("near").alias("near"), F.first("more").alias("more"))
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
-    )
+    sig = stage.write(rows.mapInArrow(lean(run), schema).withColumn("_row", F.monotonically_increasing_id()), "signatures")
+    # Equal sets are one class, which goes by the number of its first row; what follows sees those rows only.
+    classes = stage.write(sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_row").alias("cid"), F.min("_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    firsts = _firsts(stage, sig.where("n > 0"), classes)
     region = Window.partitionBy("key")
-    spread = classes.select("cid", F.explode("near").alias("key"))
+    spread = firsts.select(F.col("_row").alias("cid"), F.explode("near").alias("key"))
     shared = stage.write(
         spread.withColumn("centre", F.min("cid").over(region)).withColumn("_last", F.max("cid").over(region)).where("centre <> _last").drop("_last"), "shared"
     )
-    found, labels, sets = _verify(stage, shared.where("centre <> cid").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), docs, classes, shared, text_col, id_col, width, percent)
-    pairs = _pairs(stage, _mixed(stage, shared.select("key", "cid"), labels), classes, plan, limit, deepest, block)
-    found = stage.write(found.union(_check(stage, pairs, sets, percent)), "links")
-    roots = stage.write(components(found, stage).withColumnRenamed("node", "cid"), "roots")
+    sets = _bodies(stage, rows, classes, shared, width)
+
+    # First round: the centre that a class shares most regions with.
+    often = shared.where("cid <> centre").repartition("cid").groupBy("cid", "centre").agg(F.count("*").alias("times"))
+    pairs = often.groupBy("cid").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("a")).select("a", F.col("cid").alias("b"))
+    links = stage.write(_check(stage, pairs, sets, percent), "links")
+    labels = stage.write(components(links, stage), "labels")
+    mixed = _mixed(stage, shared.select("key", "cid"), labels)
+    # Second round: the nearest class of another component; third round: all that are left.
+    refuted = None
+    for nearest in (True, False):
+        pairs = stage.write(_pairs(stage, mixed, sig, sets, plan, limit, deepest, block, nearest), "pairs")
+        if refuted is not None:
+            pairs = stage.write(pairs.join(refuted, ["a", "b"], "left_anti"), "pairs")
+        more = stage.write(_check(stage, pairs, sets, percent), "links")
+        links, refuted = links.union(more), pairs
+        if nearest:
+            labels = stage.write(components(links, stage), "labels")
+            mixed = _mixed(stage, mixed.select("key", "cid"), labels)
+    for done in (shared, sets, mixed):
+        stage.drop(done)
+    roots = stage.write(components(links, stage).withColumnRenamed("node", "cid"), "roots")
     named = classes.select("cid", "h1", "h2", "n", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = stage.write(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = stage.write(named.join(least, "root").select("h1", "h2", "n", "component_id"), "named")
@@ -284,44 +309,57 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.union(sig.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id")))
 
 
-def _verify(stage, pairs, docs, classes, shared, text_col, id_col, width, percent):
-    """The links among the first pairs, the components they make, and the sets of all classes that share a region."""
+def _firsts(stage, sig, classes):
+    """The rows of sig that stand for a class. Only rows of classes that may have copies are shuffled."""
+    copied = classes.where("copies > 1").select("h1")
+    size = filter_size(copied.count())
+    marked = maybe(sig, F.col("h1"), stage.write(bounded_filter(copied, "h1", size), "bits"), size)
+    doubt = marked.where("_maybe").join(classes.select("cid"), F.col("_row") == F.col("cid"), "left_semi")
+    return marked.where("not _maybe").select("_row", "near").union(doubt.select("_row", "near"))
+
+
+def _bodies(stage, rows, classes, shared, width):
+    """Sets and sketches of all classes that share a region: (cid, n, body, sketch)."""
     active = shared.select("cid").distinct()
     wanted = stage.write(classes.select("cid", "rep", "h1", "h2", "n").join(active, "cid", "left_semi"), "wanted")
-    bits = stage.write(bounded_filter(wanted, "rep"), "bits")
+    size = filter_size(wanted.count())
+    bits = stage.write(bounded_filter(wanted, "rep", size), "bits")
     run, schema = _sets(width)
-    texts = keep_likely(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), F.col("_id"), bits).select("_text")
-    sets = texts.mapInArrow(lean(run), schema).join(wanted.select("cid", "h1", "h2", "n"), ["h1", "h2", "n"]).dropDuplicates(["cid"]).select("cid", "body")
-    sets = stage.write(sets, "sets")
-    found = stage.write(_check(stage, pairs, sets, percent), "links")
-    return found, stage.write(components(found, stage), "labels"), sets
+    # Of a class's copies the one whose id names it; where that id repeats, any of them, for the join's own keys.
+    made = keep_likely(rows, F.col("_id"), bits, size).mapInArrow(lean(run), schema)
+    made = made.join(wanted, ["h1", "h2", "n"]).where("_id <=> rep").dropDuplicates(["h1", "h2", "n"])
+    return stage.write(made.select("cid", "n", "body", "sketch"), "sets")
 
 
 def _check(stage, pairs, sets, percent):
     """The pairs (a, b) that are links. Each centre's set is read once for up to FAN partners."""
     pairs = stage.write(pairs, "pairs")
     fans = stage.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan")), "fans")
+    bodies = sets.select("cid", "body")
     partners = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
-    partners = partners.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "body")
-    centres = fans.join(sets.withColumnRenamed("cid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "body")
+    partners = partners.join(bodies.withColumnRenamed("cid", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "body")
+    centres = fans.join(bodies.withColumnRenamed("cid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "body")
     run, schema = _linked(percent)
     return partners.union(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(lean(run), schema)
 
 
+def _several(rows):
+    """Regions (key, m) of rows (key, cid, label) that hold several labels: of those with the same classes one, which can be cut furthest."""
+    held = rows.groupBy("key").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("f"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("g"))
+    return held.where("u <> v").groupBy("m", "f", "g").agg(F.max_by("key", F.struct(F.col("key").bitwiseAND(F.lit(ROOM)), "key")).alias("key")).select("key", "m")
+
+
 def _mixed(stage, regions, labels):
-    """Rows (key, cid, label) of the regions that hold more than one label."""
+    """Rows (key, cid, label, m) of the regions that hold more than one label."""
     rows = stage.write(regions.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("label")), "labelled")
-    several = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y")
-    several = stage.write(several.select("key", "m"), "several")
+    several = stage.write(_several(rows), "several")
     return stage.write(rows.join(several, "key").select("key", "cid", "label", "m"), "mixed")
 
 
-def _pairs(stage, mixed, classes, plan, limit, deepest, block):
+def _pairs(stage, mixed, sig, sets, plan, limit, deepest, block, nearest):
     """Pairs of different labels in mixed regions that no bound excludes; large regions are cut by further pivots first."""
     done, mixed = [], mixed.withColumn("path", F.array("key"))
-    every = classes.select("cid", F.concat("near", "more").alias("all"))
-    # A class has at most two regions for each of its sub-universes, so these lists are bounded by its size.
-    whole = mixed.where(f"m <= {limit}").groupBy("cid").agg(F.collect_list("key").alias("regions"))
+    every = sig.select(F.col("_row").alias("cid"), F.concat("near", "more").alias("all"))
     for level in range(deepest + 1):
         done.append(mixed.where(f"m <= {limit}").select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "cid", "label"))
         large = mixed.where(f"m > {limit}")
@@ -338,11 +376,11 @@ def _pairs(stage, mixed, classes, plan, limit, deepest, block):
         cut = large.where(room > level + 1).join(every, "cid").select("path", "cid", "label", F.explode("all").alias("next")).where("not array_contains(path, next)")
         cut = cut.select(F.array_sort(F.array_append("path", F.col("next"))).alias("path"), "cid", "label").withColumn("key", F.xxhash64("path")).distinct()
         cut = stage.write(cut, "cut")
-        several = stage.write(cut.groupBy("key").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m")).where("u <> v").select("key", "m"), "several")
+        several = stage.write(_several(cut), "several")
         mixed = stage.write(cut.join(several, "key"), "mixed")
-    rows = done[0].join(whole, "cid").select(*done[0].columns, "regions")
+    rows = done[0]
     for more in done[1:]:
-        rows = rows.union(more.withColumn("regions", F.array().cast("array<bigint>")))
-    rows = rows.join(classes.select("cid", "n", "sketch"), "cid").select("key", "x", "y", "side", "cid", "label", "n", "sketch", "regions")
-    run, schema = _crossing(plan)
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema).distinct()
+        rows = rows.union(more)
+    rows = rows.join(sets.select("cid", "n", "sketch"), "cid").select("key", "x", "y", "side", "cid", "label", "n", "sketch")
+    run, schema = _crossing(plan, nearest)
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(run), schema).distinct()

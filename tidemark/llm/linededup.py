@@ -84,7 +84,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for turn in range(CENTRES + 1):
         found = _check(stage, pairs, sets, percent)
         links = stage.write(found if links is None else links.union(found), "links")
-        roots = stage.write(components(links, stage).withColumnRenamed("node", "cid"), "roots")
+        roots = stage.write(components(links, stage, native=True).withColumnRenamed("node", "cid"), "roots")
         if turn < CENTRES:
             labelled = stage.write(shared.select("bucket", "cid").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")), "labelled")
             pairs = _centred(stage, labelled) if turn + 1 < CENTRES else _crossing(stage, labelled, sets, percent)
