@@ -1,16 +1,18 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame operations only.
 
 Lines are compared trimmed and lower-cased. Equal lines become one by a 128-bit hash. Of the others' character 8-shingles
-(on UTF-8 bytes) ROWS * BANDS minima of hashes make a signature; ROWS of them form a band, and lines that agree in a band are
-compared. Whether two lines are near copies is decided by the exact Jaccard similarity of the same shingles, at least
-80 %. Links are joined by a distributed union-find, and one line of each component stays: the first by document and place.
-
-In a band's bucket each line is first compared with the least one; where lines of different components are left in a
-bucket, with a second centre drawn by hash, and so on for CENTRES rounds, so that a family of copies costs as much as its size.
-What then still has different components in a bucket is compared pair by pair, in blocks of BLOCK lines, so any two lines that
-share a bucket are compared or in one component. PARITY words of 64 bits each tell beforehand which pairs can't be near: a bit is
-the parity of the shingles that fall on it, so the bits in which two lines differ are no more than the shingles in which they do.
-Minima are aggregated before the shuffle. A family of copies shares BANDS buckets, so its rows are dealt to as many tasks; other
+(on UTF-8 bytes) the hashes are dealt to BANDS ranges of equal size, and the ROWS least hashes of a range make a band; lines that
+agree in a band are compared. A range with fewer hashes goes on into the next one, behind its border. Whether two lines are near
+copies is decided by the exact Jaccard similarity of the same shingles, at least 80 %. Links are joined by a distributed
+union-find, and one line of each component stays: the first by document and place.
+
+Each line is first compared with the least line of the buckets that it shares most often; where lines of different components are
+left in a bucket, with a centre drawn there by hash, so that a family of copies costs as much as its size. What then still has
+different components in a bucket is compared pair by pair, in blocks of BLOCK lines, so any two lines that share a bucket are compared
+or in one component. Of buckets that hold the same lines one is looked at. PARITY words of 64 bits each tell beforehand which
+pairs can't be near: a bit is the parity of the shingles that fall on it, so the bits in which two lines differ are no more than the
+shingles in which they do. A line's bands are made in the row it stands in, so no signature is shuffled; a text is, once, only where
+its line shares a bucket. A family of copies shares BANDS buckets, so its rows are dealt to as many tasks; other
 rows of a text or component meet in aggregates and in joins of written tables, which Spark can split.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, bounded_filter, components, keep_likely
+from .common import Stage, bounded_filter, components, filter_size, keep_likely, maybe
 
 ROWS, BANDS = 3, 10
 SHINGLE, PERCENT = 8, 80
@@ -39,6 +41,19 @@ def shingle_set(line: Column, width: int = SHINGLE) -> Column:
     return F.array_distinct(F.get(made, F.lit(0)))
 
 
+def banded(line: Column, rows: int = ROWS, bands: int = BANDS, width: int = SHINGLE) -> Column:
+    """The buckets of a line: for each range of hashes a hash of the least ones in it."""
+    last = F.greatest(F.octet_length(line) - width + 1, F.lit(1))
+    made = F.transform(F.array(F.encode(line, "UTF-8")), lambda raw: F.transform(F.sequence(F.lit(1), last), lambda i: F.hash(F.substring(raw, i, F.lit(width)))))
+    # The ranges' borders are sorted in among the hashes, which tells where each range begins.
+    borders = [(1 << 32) * b // bands - (1 << 31) for b in range(bands)]
+    whole = F.sort_array(F.array_distinct(F.concat(F.get(made, F.lit(0)), F.array(*[F.lit(x).cast("int") for x in borders]))))
+    # Behind the last border it goes on from the first.
+    round_ = F.transform(F.array(whole), lambda a: F.concat(a, F.slice(a, 1, rows + 1)))
+    of = lambda a: F.array(*[F.xxhash64(F.lit(b), F.slice(a, (F.array_position(a, F.lit(x).cast("int")) + 1).cast("int"), rows)) for b, x in enumerate(borders)])
+    return F.get(F.transform(round_, of), F.lit(0))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows _id, line_no (from 0), _line (normalised) of all lines that hold more than blanks."""
     # Cut at blanks' runs only when compared: the line itself is kept as it is.
@@ -54,40 +69,35 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per line that holds more than blanks: id_col, line_no, keep_id, keep_line, kept.
 
     keep_id and keep_line name the line of its component that stays, the least by (id, line_no), null ids last. Null and empty texts
-    have no lines. Repeated rows of docs have the same lines, of which one row stays. Ties can't occur otherwise. Other columns
-    are left out. An empty table gives an empty one.
+    have no lines. Repeated rows of docs have the same lines, of which one row stays. Ties can't occur otherwise. Lines of any length
+    are taken whole. Other columns are left out, whatever their names. An empty table gives an empty one.
     """
     stage = Stage(docs.sparkSession, "lines")
     lines = lines_of(docs, id_col, text_col)
     key = _key(F.col("_line"))
-    seen = stage.write(lines.select("_id", "line_no", *key, F.monotonically_increasing_id().alias("_row")), "seen")
+    seen = stage.write(lines.select("_id", "line_no", *key, F.monotonically_increasing_id().alias("_row"), banded(F.col("_line"), rows, bands).alias("buckets")), "seen")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("line_no").alias("l"), F.col("_row").alias("r"))
-    # One number for each distinct line, which later tables go by.
-    firsts = stage.write(seen.groupBy("h1", "h2").agg(F.min(place).alias("first")).withColumn("cid", F.monotonically_increasing_id()), "firsts")
-
-    shingled = lines.select(*key, F.explode(shingle_set(F.col("_line"))).alias("_x"))
-    minima = [F.min(F.hash("_x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)]
-    signatures = shingled.groupBy("h1", "h2").agg(*minima).join(firsts.select("h1", "h2", "cid"), ["h1", "h2"])
-    banded = F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + i}" for i in range(rows)]) for b in range(bands)])).alias("bucket")
+    # Equal lines go by the number of their first row.
+    firsts = stage.write(seen.groupBy("h1", "h2").agg(F.min("_row").alias("cid"), F.min(place).alias("first"), F.count("*").alias("copies")), "firsts")
     own = Window.partitionBy("bucket")
-    spread = signatures.select("cid", banded).withColumn("centre", F.min("cid").over(own)).withColumn("_last", F.max("cid").over(own))
+    spread = _first_rows(stage, seen, firsts).select(F.col("_row").alias("cid"), F.explode("buckets").alias("bucket"))
+    spread = spread.withColumn("centre", F.min("cid").over(own)).withColumn("_last", F.max("cid").over(own))
     shared = stage.write(spread.where("centre <> _last").drop("_last"), "shared")
-
-    # The shingle sets of the lines that share a bucket.
-    active = stage.write(shared.select("cid").distinct().join(firsts.select("cid", "h1", "h2"), "cid"), "active")
-    bits = stage.write(bounded_filter(active, "h1"), "bits")
-    wanted = keep_likely(lines.select(*key, "_line"), F.col("h1"), bits).dropDuplicates(["h1", "h2"])
-    sets = stage.write(wanted.join(active, ["h1", "h2"]).select("cid", shingle_set(F.col("_line")).alias("set")), "sets")
+    texts = _texts(stage, lines, key, shared, firsts)
 
     links = None
-    pairs = shared.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    often = shared.where("cid <> centre").repartition("cid").groupBy("cid", "centre").agg(F.count("*").alias("times"))
+    pairs = often.groupBy("cid").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("a")).select("a", F.col("cid").alias("b"))
+    left = shared.select("bucket", "cid")
     for turn in range(CENTRES + 1):
-        found = _check(stage, pairs, sets, percent)
+        found = _check(pairs, texts, percent)
         links = stage.write(found if links is None else links.union(found), "links")
         roots = stage.write(components(links, stage, native=True).withColumnRenamed("node", "cid"), "roots")
         if turn < CENTRES:
-            labelled = stage.write(shared.select("bucket", "cid").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")), "labelled")
-            pairs = _centred(stage, labelled) if turn + 1 < CENTRES else _crossing(stage, labelled, sets, percent)
+            left = _mixed(stage, left, roots)
+            pairs = stage.write(_centred(stage, left) if turn + 1 < CENTRES else _crossing(left, texts, percent), "pairs")
+    for done in (shared, texts, left):
+        stage.drop(done)
 
     named = firsts.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     keep = stage.write(named.groupBy("root").agg(F.min("first").alias("keep")), "keep")
@@ -98,11 +108,41 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _centred(stage: Stage, labelled: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a centre drawn in each bucket of several labels with the bucket's lines of other labels."""
-    drawn = labelled.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.min_by(F.struct("cid", "label"), F.xxhash64("bucket", "cid")).alias("c")).where("u <> v")
-    drawn = stage.write(drawn.select("bucket", "c"), "drawn")
-    return labelled.join(drawn, "bucket").where("label <> c.label").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
+def _first_rows(stage: Stage, seen: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of seen that stand for their line. Only rows of lines that may have copies are shuffled."""
+    copied = firsts.where("copies > 1").select("h1")
+    size = filter_size(copied.count())
+    marked = maybe(seen, F.col("h1"), stage.write(bounded_filter(copied, "h1", size), "bits"), size)
+    doubt = marked.where("_maybe").join(firsts.where("copies > 1").select("cid"), F.col("_row") == F.col("cid"), "left_semi")
+    # A line that the filter holds in vain has no copies.
+    alone = marked.where("_maybe").join(firsts.where("copies = 1").select("cid"), F.col("_row") == F.col("cid"), "left_semi")
+    return marked.where("not _maybe").select("_row", "buckets").union(doubt.select("_row", "buckets")).union(alone.select("_row", "buckets"))
+
+
+def _texts(stage: Stage, lines: DataFrame, key: list[Column], shared: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The lines that share a bucket, each once: cid, n (its shingles), p (their parities), _line."""
+    active = stage.write(shared.select("cid").distinct().join(firsts.select("cid", "h1", "h2", F.xxhash64("first.i", "first.l").alias("at")), "cid"), "active")
+    size = filter_size(active.count())
+    bits = stage.write(bounded_filter(active, "at", size), "bits")
+    wanted = keep_likely(lines.select(F.xxhash64("_id", "line_no").alias("_at"), "_line"), F.col("_at"), bits, size)
+    # Where ids repeat, a place holds several lines, of which the hashes tell; and equal ones, of which one is enough.
+    wanted = wanted.select("_at", "_line", *key).join(active, ["h1", "h2"]).where("_at = at").dropDuplicates(["h1", "h2"])
+    made = wanted.select("cid", "_line", shingle_set(F.col("_line")).alias("_set"))
+    return stage.write(made.select("cid", F.size("_set").alias("n"), parities(F.col("_set")).alias("p"), "_line"), "texts")
+
+
+def _mixed(stage: Stage, left: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (bucket, cid, label, m) of the buckets of several labels, one of those that hold the same lines; m: its lines."""
+    labelled = stage.write(left.select("bucket", "cid").join(roots, "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("label")), "labelled")
+    held = labelled.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("f"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("g"))
+    several = stage.write(held.where("u <> v").groupBy("m", "f", "g").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "several")
+    return stage.write(labelled.join(several, "bucket").select("bucket", "cid", "label", "m"), "mixed")
+
+
+def _centred(stage: Stage, mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a centre drawn in each bucket with the bucket's lines of other labels."""
+    drawn = stage.write(mixed.groupBy("bucket").agg(F.min_by(F.struct("cid", "label"), F.xxhash64("bucket", "cid")).alias("c")), "drawn")
+    return mixed.join(drawn, "bucket").where("label <> c.label").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
 
 
 def parities(shingles: Column) -> Column:
@@ -113,41 +153,44 @@ def parities(shingles: Column) -> Column:
     return F.array(*[fold(j) for j in range(PARITY)])
 
 
-def _crossing(stage: Stage, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _may(x: str, y: str, percent: int) -> Column:
+    """Whether the sizes and parities of two lines leave it open that they are near."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    gap = sum((F.bit_count(F.col(f"{x}.p")[j].bitwiseXOR(F.col(f"{y}.p")[j])) for j in range(PARITY)), F.lit(0))
+    # The difference is at most 100 - percent % of the union, which is (n + m + difference) / 2.
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * gap <= (100 - percent) * (n + m))
+
+
+def _crossing(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different labels in a bucket that no bound excludes."""
-    several = stage.write(labelled.groupBy("bucket").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m")).where("u <> v").select("bucket", "m"), "several")
-    rows = stage.write(labelled.join(several, "bucket").select("bucket", "cid", "label", "m"), "mixed")
-    bounds = stage.write(sets.join(rows.select("cid").distinct(), "cid").select("cid", F.size("set").alias("n"), parities(F.col("set")).alias("p")), "bounds")
     # Each line meets its own block and all others of its bucket, a pair of blocks in one task.
     count = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("cid"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "cid", "label").join(bounds, "cid")
+    dealt = mixed.withColumn("own", F.pmod(F.xxhash64("cid"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "cid", "label").join(texts.select("cid", "n", "p"), "cid")
     x, y = dealt.alias("x"), dealt.alias("y")
     met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "s", "t")]
     # A block meets itself with each pair once; two blocks meet as lower and upper.
     once = F.when(F.col("x.s") == F.col("x.t"), F.col("x.cid") < F.col("y.cid")).otherwise(F.col("x.own") < F.col("y.own"))
-    n, m = F.col("x.n"), F.col("y.n")
-    gap = sum((F.bit_count(F.col("x.p")[j].bitwiseXOR(F.col("y.p")[j])) for j in range(PARITY)), F.lit(0))
-    # The difference is at most 100 - percent % of the union, which is (n + m + difference) / 2.
-    may = (F.col("x.label") != F.col("y.label")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * gap <= (100 - percent) * (n + m))
+    may = (F.col("x.label") != F.col("y.label")) & _may("x", "y", percent)
     return x.join(y, [*met, once & may]).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def _check(stage: Stage, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are near enough; sizes are looked at before the sets are."""
-    pairs = stage.write(pairs, "pairs")
-    x, y = sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), sets.select(F.col("cid").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    n, m = F.size("x"), F.size("y")
-    near = both.where(100 * F.least(n, m) >= percent * F.greatest(n, m)).withColumn("_i", F.size(F.array_intersect("x", "y")))
-    return near.where(100 * F.col("_i") >= percent * (n + m - F.col("_i"))).select("a", "b")
+def _check(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines are near enough; the bounds are looked at before the sets are made."""
+    x, y = texts.alias("x"), texts.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid")).where(_may("x", "y", percent))
+    both = both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.size(F.array_intersect(shingle_set(F.col("x._line")), shingle_set(F.col("y._line")))).alias("i"))
+    return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and text of docs without the lines that don't stay; lines of blanks only stay. Ids must be distinct."""
+    """id_col and text of docs without the lines that don't stay; lines of blanks only stay, and a null text stays null.
+
+    Of rows that repeat an id, null ids included, all lose the lines that any of them loses at that place.
+    """
     gone = line_classes(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_id"), "line_no")
     by_doc = gone.groupBy("_id").agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(by_doc, F.col(id_col) == F.col("_id"), "left")
+    rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).join(by_doc, F.col("_own").eqNullSafe(F.col("_id")), "left")
     parts = F.split("_text", "\n")
     kept = F.filter(parts, lambda x, i: F.col("_gone").isNull() | ~F.array_contains(F.col("_gone"), i.cast("long")))
-    return rows.select(id_col, F.array_join(kept, "\n").alias(text_col))
+    return rows.select(F.col("_own").alias(id_col), F.array_join(kept, "\n").alias(text_col))
