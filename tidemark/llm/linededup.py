@@ -27,6 +27,8 @@ ROWS, BANDS = 3, 10
 SHINGLE, PERCENT = 8, 80
 CENTRES, BLOCK = 2, 512
 PARITY = 4
+#: Lines whose sets one task makes.
+LINES = 4096
 
 
 def normalised(line: Column) -> Column:
@@ -41,17 +43,21 @@ def shingle_set(line: Column, width: int = SHINGLE) -> Column:
     return F.array_distinct(F.get(made, F.lit(0)))
 
 
-def banded(line: Column, rows: int = ROWS, bands: int = BANDS, width: int = SHINGLE) -> Column:
-    """The buckets of a line: for each range of hashes a hash of the least ones in it."""
+def banded(lines: DataFrame, rows: int = ROWS, bands: int = BANDS, width: int = SHINGLE) -> DataFrame:
+    """lines with their buckets in place of _line: for each range of hashes a hash of the least ones from its border on.
+
+    In steps, each a plain expression of columns that the step before made, so that all but the hashing is compiled.
+    """
+    rest = [c for c in lines.columns if c != "_line"]
+    borders = [F.lit((1 << 32) * b // bands - (1 << 31)).cast("int") for b in range(bands)]
+    line = F.col("_line")
     last = F.greatest(F.octet_length(line) - width + 1, F.lit(1))
     made = F.transform(F.array(F.encode(line, "UTF-8")), lambda raw: F.transform(F.sequence(F.lit(1), last), lambda i: F.hash(F.substring(raw, i, F.lit(width)))))
-    # The ranges' borders are sorted in among the hashes, which tells where each range begins.
-    borders = [(1 << 32) * b // bands - (1 << 31) for b in range(bands)]
-    whole = F.sort_array(F.array_distinct(F.concat(F.get(made, F.lit(0)), F.array(*[F.lit(x).cast("int") for x in borders]))))
-    # Behind the last border it goes on from the first.
-    round_ = F.transform(F.array(whole), lambda a: F.concat(a, F.slice(a, 1, rows + 1)))
-    of = lambda a: F.array(*[F.xxhash64(F.lit(b), F.slice(a, (F.array_position(a, F.lit(x).cast("int")) + 1).cast("int"), rows)) for b, x in enumerate(borders)])
-    return F.get(F.transform(round_, of), F.lit(0))
+    lines = lines.select(*rest, F.sort_array(F.array_distinct(F.get(made, F.lit(0)))).alias("_x"))
+    # The borders sorted in among the hashes tell where each range begins; behind the last hash it goes on from the first.
+    lines = lines.select(*rest, F.concat("_x", F.slice("_x", 1, rows)).alias("_x"), F.sort_array(F.concat("_x", F.array(*borders))).alias("_y"))
+    least = [F.slice("_x", (F.array_position("_y", border) - b).cast("int"), rows) for b, border in enumerate(borders)]
+    return lines.select(*rest, F.array(*[F.xxhash64(F.lit(b), x) for b, x in enumerate(least)]).alias("buckets"))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,7 +81,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stage = Stage(docs.sparkSession, "lines")
     lines = lines_of(docs, id_col, text_col)
     key = _key(F.col("_line"))
-    seen = stage.write(lines.select("_id", "line_no", *key, F.monotonically_increasing_id().alias("_row"), banded(F.col("_line"), rows, bands).alias("buckets")), "seen")
+    seen = stage.write(banded(lines.select("_id", "line_no", *key, F.monotonically_increasing_id().alias("_row"), "_line"), rows, bands), "seen")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("line_no").alias("l"), F.col("_row").alias("r"))
     # Equal lines go by the number of their first row.
     firsts = stage.write(seen.groupBy("h1", "h2").agg(F.min("_row").alias("cid"), F.min(place).alias("first"), F.count("*").alias("copies")), "firsts")
@@ -122,11 +128,14 @@ def _first_rows(stage: Stage, seen: DataFrame, firsts: DataFrame) -> DataFrame:
 def _texts(stage: Stage, lines: DataFrame, key: list[Column], shared: DataFrame, firsts: DataFrame) -> DataFrame:
     """The lines that share a bucket, each once: cid, n (its shingles), p (their parities), _line."""
     active = stage.write(shared.select("cid").distinct().join(firsts.select("cid", "h1", "h2", F.xxhash64("first.i", "first.l").alias("at")), "cid"), "active")
-    size = filter_size(active.count())
+    many = active.count()
+    size = filter_size(many)
+    # Little data and much work: as many tasks as there are lines for.
+    active_tasks = many // LINES + 1
     bits = stage.write(bounded_filter(active, "at", size), "bits")
     wanted = keep_likely(lines.select(F.xxhash64("_id", "line_no").alias("_at"), "_line"), F.col("_at"), bits, size)
     # Where ids repeat, a place holds several lines, of which the hashes tell; and equal ones, of which one is enough.
-    wanted = wanted.select("_at", "_line", *key).join(active, ["h1", "h2"]).where("_at = at").dropDuplicates(["h1", "h2"])
+    wanted = wanted.select("_at", "_line", *key).repartition(active_tasks, "h1", "h2").join(active, ["h1", "h2"]).where("_at = at").dropDuplicates(["h1", "h2"])
     made = wanted.select("cid", "_line", shingle_set(F.col("_line")).alias("_set"))
     return stage.write(made.select("cid", F.size("_set").alias("n"), parities(F.col("_set")).alias("p"), "_line"), "texts")
 
@@ -175,11 +184,17 @@ def _crossing(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return x.join(y, [*met, once & may]).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has, for steps whose work their bytes don't tell."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _check(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines are near enough; the bounds are looked at before the sets are made."""
     x, y = texts.alias("x"), texts.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid")).where(_may("x", "y", percent))
-    both = both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.size(F.array_intersect(shingle_set(F.col("x._line")), shingle_set(F.col("y._line")))).alias("i"))
+    both = both.select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x._line").alias("x"), F.col("y._line").alias("y")).repartition(_tasks(pairs))
+    both = both.select("a", "b", (F.col("n") + F.col("m")).alias("n"), F.size(F.array_intersect(shingle_set(F.col("x")), shingle_set(F.col("y")))).alias("i"))
     return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
