@@ -10,24 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, exactdedup, jaccard, langid
-from tidemark.llm.common import Stage, bounded_filter, maybe, table
+from tidemark.llm.common import Stage, bounded_filter, filter_size, maybe, table
 
 #: A text goes when it has no letter or when no language is likelier than this.
 LEAST_SCORE = 0.5
 
 
+#: Near copies: runs of so many words, and so many of a hundred of them shared.
+WIDTH, PERCENT = 5, 80
+
+
+def packed(docs: DataFrame, **made) -> DataFrame:
+    """docs as one column _doc beside columns made from it, so that no name of theirs clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[x.alias(name) for name, x in made.items()])
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in gone (a null id matches a null id). Only rows that a filter of bounded size can't clear are shuffled."""
-    bits = bounded_filter(gone, id_col)
-    marked = maybe(docs, F.col(id_col), bits)
-    doubt = marked.where("_maybe").select(docs.columns)
+    """docs without the rows whose id is in gone, a written table (a null id matches a null id). Only rows that a filter of bounded size can't clear are shuffled."""
+    size = filter_size(gone.count())
+    marked = maybe(packed(docs, _id=F.col(id_col)), F.col("_id"), bounded_filter(gone, id_col, size), size)
     ids = gone.select(F.col(id_col).alias("_gone")).distinct()
-    stay = doubt.join(ids, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    return marked.where("not _maybe").select(docs.columns).unionByName(stay)
+    stay = marked.where("_maybe").join(ids, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where("not _maybe").select("_doc.*").unionByName(stay.select("_doc.*"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go, and those that no learned language accounts for."""
+    """Texts without a letter go, and those that no learned language accounts for.
+
+    Null and empty texts go; very long ones are scored whole. Rows with a null language or id, repeated rows and ties are scored like
+    others. Without any language to learn all texts with a letter stay. An empty table gives an empty one.
+    """
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model[0]:  # nothing to learn from
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -36,33 +48,49 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, that with the largest doc_id."""
+    """One row of each group of equal texts stays, that with the largest doc_id.
+
+    Null texts count as empty. Of repeated rows, and of equal texts with null ids only, one stays. Texts are compared whole, whatever their
+    length; other columns don't matter. An empty table gives an empty one.
+    """
     stage = Stage(spark, "copies")
     found = exactdedup.exact_dedup(docs).select("doc_id", "_sha", "kept")
     found = stage.write(found.where("_sha is not null").groupBy("doc_id", "_sha").agg(F.max("kept").alias("kept"), F.min("kept").alias("_all")), "verdicts")
     # An id has several rows only where documents repeat ids; so text hashes are compared as well.
     doubtful = stage.write(found.where("not _all"), "doubtful")
-    marked = maybe(docs, F.col("doc_id"), bounded_filter(doubtful, "doc_id"))
-    doubt = marked.where("_maybe").withColumn("_sha", F.unhex(F.sha2(exactdedup.normalised(F.col("text")), 256)))
-    gone = doubtful.where("not kept").select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_gone"))
-    stay = doubt.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "_sha"])
-    return marked.where("not _maybe").select(docs.columns).unionByName(stay.select(docs.columns))
+    size = filter_size(doubtful.count())
+    marked = maybe(packed(docs, _id=F.col("doc_id"), _text=F.col("text")), F.col("_id"), bounded_filter(doubtful, "doc_id", size), size)
+    doubt = marked.where("_maybe").select("_doc", "_id", F.unhex(F.sha2(exactdedup.normalised(F.col("_text")), 256)).alias("_sha"))
+    gone = doubtful.where("not kept").select(F.col("doc_id").alias("_other"), F.col("_sha").alias("_gone"))
+    stay = doubt.join(gone, F.col("_id").eqNullSafe(F.col("_other")) & (F.col("_sha") == F.col("_gone")), "left_anti").dropDuplicates(["_id", "_sha"])
+    return marked.where("not _maybe").select("_doc.*").unionByName(stay.select("_doc.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, that with the least doc_id."""
-    found = jaccard.jaccard_classes(docs).where("not (doc_id <=> component_id)")
+    """One document of each component of near copies stays, that with the least doc_id.
+
+    Texts without a word, null ones among them, are copies of none. Of repeated ids the rows stay or go together; a null id goes
+    where another one is in its component. Texts of any length are compared whole. An empty table gives an empty one.
+    """
+    found = jaccard.jaccard_classes(docs, width=WIDTH, percent=PERCENT).where("not (doc_id <=> component_id)")
     return without(docs, Stage(spark, "near").write(found.select("doc_id"), "gone"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts and items match nothing; very long texts are searched whole; rows that repeat an id go together, null ids too.
+    An empty table, of documents or items, takes nothing away.
+    """
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, Stage(spark, "leaks").write(found.select("doc_id").distinct(), "gone"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids of each document, with hashes of the ids and of the bytes that they decode to."""
+    """doc_id, lang, source, n_tokens and the ids of each document, with hashes of the ids and of the bytes that they decode to.
+
+    A null text has no ids; null ids, repeated rows and very long texts are rows like others; an empty table gives an empty one.
+    """
     made = bpe.encode(docs, keep=("lang", "source"), decoded="decoded")
     return made.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
