@@ -1,10 +1,12 @@
 """Operators of a text each: against a plain version, with odd texts."""
 
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,21 +113,41 @@ def test_language_of_held_out_texts(spark):
 
 
 def test_forward_sums_all_segmentations():
+    """Words of up to 300 bytes in three scripts, together, against a sum over segmentations in exact fractions."""
+    from fractions import Fraction
+
     keys = langid.pieces()
     rng = np.random.default_rng(0)
     p = rng.random((len(keys) + 1, 2)) / 1000
     p[-1] = 0
     number = {int(k): i for i, k in enumerate(keys)}
-    word = b"schule"
-
-    def total(rest, lang):
-        if not rest:
-            return 1.0
-        return sum(p[number[int.from_bytes(rest[:n], "little")], lang] * total(rest[n:], lang) for n in range(1, min(8, len(rest)) + 1) if int.from_bytes(rest[:n], "little") in number)
-
-    buf = np.frombuffer(word + bytes(16), np.uint8)
-    got = langid.score_words(buf, np.array([0]), np.array([len(word)]), keys, p)[0]
-    assert np.allclose(got, [np.log(total(b" " + word, i)) for i in (0, 1)])
+    words = ["schule", "a", "donaudampfschifffahrtsgesellschaft", "достопримечательностями", "自然言語処理は計算機科学の一分野である", "x" * 300, "donaudampfschifffahrtsgesellschafts"]
+
+    def total(word, lang):
+        sums = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            found = ((n, number.get(int.from_bytes(word[j - n : j], "little"))) for n in range(1, min(8, j) + 1))
+            sums.append(sum((sums[j - n] * Fraction(p[k, lang]) for n, k in found if k is not None), Fraction(0)))
+        return sums[-1]
+
+    raw = [w.encode() for w in words]
+    buf = np.frombuffer(b" ".join(raw) + bytes(16), np.uint8)
+    starts = np.cumsum([0, *[len(w) + 1 for w in raw[:-1]]])
+    got = langid.score_words(buf, starts, starts + [len(w) for w in raw], keys, p)
+    for w, row in zip(raw, got, strict=True):
+        for lang in (0, 1):
+            x = total(b" " + w, lang)
+            assert np.isclose(row[lang], math.log(x.numerator) - math.log(x.denominator))
+
+
+def test_words_are_letters_of_any_script(spark):
+    assert langid.letters(pa.array(["ABC—«déjà»\u00a0x", "1 Q", "漢字。かな"])).to_pylist() == ["abc déjà x", "1 q", "漢字 かな"]
+    r = random.Random(2)
+    scripts = {"ja": "自然言語処理は計算機科学の", "ru": "достопримечательн", "en": "abcdefgh"}
+    rows = [(i, "".join(r.choice(scripts[lang]) for _ in range(60)) + "。" * (i % 3), lang, "clash", "clash") for i in range(240) for lang in [r.choice(sorted(scripts))]]
+    docs = spark.createDataFrame([*rows, (999, "自然" * 20_000, None, None, None), (1000, "abc " * 30_000, None, None, None)], "doc_id long, text string, lang string, word string, _text string")
+    got = {x.doc_id: x for x in langid.language_id(docs).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang, *_ in rows) and (got[999].lang_pred, got[1000].lang_pred) == ("ja", "en")
 
 
 def plain_distance(item, text):
@@ -186,6 +208,36 @@ def test_extraction(spark):
     assert got[4].text.startswith("unclosed text") and len(got) == 6
 
 
+def test_articles_of_any_length_and_depth():
+    """Whole articles, short and long, plain and in divs, with and without a heading, in few and in many elements."""
+    words = ("lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam " * 40).split()
+    run = lambda n, at: " ".join(words[at : at + n])
+    menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(6)) + "</ul></nav>"
+    footer = "<footer><p>Copyright 2020 All rights reserved</p></footer>"
+    for head in (0, 1):
+        for count, size in ((1, 8), (1, 13), (2, 13), (3, 40), (10, 13), (20, 40)):
+            for form in ("<p>%s</p>", "<div>%s</div>", "<div><p>%s</p></div>", '<p class="q">%s</p>', '<div class="x1">%s</div>'):
+                for depth in (0, 1, 40, 600):
+                    for kind, around in (("article", 1), ('div class="content"', 1), ("article", 0)):
+                        blocks = [run(size, 7 * i + 1) for i in range(count)]
+                        inner = f"<h1>{run(4, 3)}</h1>" * head + "".join(form % b for b in blocks)
+                        page = f"<html><head><title>t</title></head><body>{menu * around}<{kind}>{'<div>' * depth}{inner}{'</div>' * depth}</{kind.split()[0]}>{footer * around}</body></html>"
+                        assert html.extract_text(page, html.trained()) == "\n".join([run(4, 3)] * head + blocks)
+    mixed = [run(4, 3), run(20, 1), *[run(3, i) for i in (9, 13, 17, 21)], run(25, 30)]
+    tags = ["h1", "p", "div", "div", "div", "div", "p"]
+    for hint in ("", ' class="z"'):
+        page = "<body><article>" + "".join(f"<{t}{hint}>{x}</{t}>" for t, x in zip(tags, mixed, strict=True)) + "</article></body>"
+        assert html.extract_text(page, html.trained()) == "\n".join(mixed)
+
+
+def test_end_tags_at_any_depth():
+    """The end of a menu is found behind a thousand elements that were never closed."""
+    page = "<body><nav>" + "<span>" * 1000 + "menu</nav><article><h1>Head line here</h1><p>" + "word " * 60 + "</p></article></body>"
+    assert html.extract_text(page, html.trained()) == "Head line here\n" + ("word " * 60).strip()
+    nodes, _ = html.parse("<table><tr><td>a<td>b<tr><td>c</table><ul><li>x<li>y</ul>")
+    assert [n.tag for n in nodes if n.parent >= 0 and nodes[n.parent].tag == "tr"] == ["td", "td", "td"] and sum(n.tag == "li" and nodes[n.parent].tag == "ul" for n in nodes) == 2
+
+
 def test_what_is_not_shown():
     page = '<article><h1>Head</h1><p class="overflow-hidden">a paragraph of some length that is shown to the reader</p><p hidden>never one</p><p style="color:red; display: none">never two</p><p>another paragraph of some length, shown as well</p></article>'
     assert html.extract_text(page, html.trained()).split("\n") == ["Head", "a paragraph of some length that is shown to the reader", "another paragraph of some length, shown as well"]

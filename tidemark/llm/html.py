@@ -36,7 +36,7 @@ IMPLIED = {
     "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)),
     "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
+    "th": (("th", "td"), ("tr", "table")),
     "option": (("option",), ("select",)),
     "body": (("head",), ("html",)),
 }
@@ -51,6 +51,19 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
 _NO_DISPLAY = re.compile(r"\bstyle\s*=\s*[\"'][^\"']*\bdisplay\s*:\s*none", re.I)
 
 
+# Class words of page parts that aren't the article, in wide use.
+AROUND = {
+    "nav": ["nav", "menu", "navigation", "navbar", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager", "topbar"],
+    "header": ["header", "masthead", "banner", "site", "logo"],
+    "footer": ["footer", "colophon", "copyright", "legal", "credits"],
+    "aside": ["sidebar", "aside", "widget", "related", "recommended", "popular", "complementary", "rail", "promo", "trending"],
+    "div": ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "cookie", "consent", "notice", "banner", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "share", "social", "sharing", "login", "gdpr", "privacy", "paywall"],
+    "section": ["comments", "comments", "comments", "comment", "comment", "discussion", "replies", "reply", "disqus", "respond", "responses", "related", "newsletter"],
+    "form": ["search", "login", "signup", "subscribe", "contact", "newsletter"],
+}
+_AROUND = frozenset(w for words in AROUND.values() for w in words)
+
+
 @functools.lru_cache(maxsize=None)
 def _closing(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
@@ -74,14 +87,17 @@ class Node:
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """Elements in page order, parents first, and the page's parts in order: (element, text) or (element, None) where a block begins or ends."""
     nodes, parts = [Node("#root", -1, "", False)], []
-    stack, open_p = [0], 0
-    at, size = 0, len(html)
+    stack, at, size = [0], 0, len(html)
+    # Where in the stack the elements of each tag are, so that the innermost one is found at any depth.
+    places: dict[str, list[int]] = defaultdict(list)
+
+    def inner(*tags: str) -> int:
+        return max(places[t][-1] if places.get(t) else 0 for t in tags)
 
     def pop_to(depth: int) -> None:
-        nonlocal open_p
         while len(stack) > depth:
             gone = nodes[stack.pop()]
-            open_p -= gone.tag == "p"
+            places[gone.tag].pop()
             if gone.tag in BLOCK:
                 parts.append((stack[-1], None))
 
@@ -101,32 +117,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         name, end, attrs = name.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
         if end:
-            if name == "p" and not open_p:
+            if depth := inner(name):
+                pop_to(depth)
+            elif name == "p":
                 parts.append((stack[-1], None))
-                continue
-            for depth in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-                if nodes[stack[depth]].tag == name:
-                    pop_to(depth)
-                    break
             continue
-        if open_p and name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[depth]].tag
-                if tag == "p":
-                    pop_to(depth)
-                    break
-                if tag in ("table", "td", "th", "button", "caption"):
-                    break
+        if name in CLOSES_P and (depth := inner("p")) > inner("table", "td", "th", "button", "caption"):
+            pop_to(depth)
         if name in IMPLIED:
             ends, within = IMPLIED[name]
-            for depth in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-                tag = nodes[stack[depth]].tag
-                if tag in ends:
-                    pop_to(depth)
-                    if name != "tr" or tag == "tr":
-                        break
-                elif tag in within:
-                    break
+            border = inner(*within)
+            if (depth := inner(ends[0])) > border or (depth := inner(*ends)) > border:
+                pop_to(depth)
         if name in BLOCK:
             parts.append((stack[-1], None))
         if name in VOID:
@@ -138,14 +140,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             close = _closing(name).search(html, at)
             at = close.end() if close else size
             continue
+        places[name].append(len(stack))
         stack.append(len(nodes) - 1)
-        open_p += name == "p"
     return nodes, parts
 
 
 @functools.lru_cache(maxsize=100_000)
 def _names(tag: str, hints: str, size: int, links: int) -> tuple[str, ...]:
-    return ("bias", f"tag {tag}", *{f"hint {w}" for w in hints.split()}, f"size {size}", f"links {links}")
+    return ("bias", f"tag {tag}", *[f"named {tag}"] * bool(hints), *["around"] * (not _AROUND.isdisjoint(hints.split())), *{f"hint {w}" for w in hints.split()}, f"size {size}", f"links {links}")
 
 
 def features(node: Node) -> tuple[str, ...]:
@@ -207,7 +209,7 @@ def extract_text(html: str, model: tuple[dict[str, float], list[list[float]]]) -
     return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
-def labelled_pages(count: int = 160, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
     """Pages whose elements carry data-y="1" (content) or "0"; the label holds for what is below until another one."""
     r = random.Random(seed)
     letters = "etaoinshrdlu"
@@ -215,32 +217,48 @@ def labelled_pages(count: int = 160, seed: int = 11) -> list[str]:
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     link = lambda: f'<a href="/{word()}">{words(1, 4)}</a>'
     menu = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8))) + "</ul>"
-    # Class words of page parts that aren't the article, in wide use.
-    around = {
-        "nav": ["nav", "menu", "navigation", "navbar", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager", "topbar"],
-        "header": ["header", "masthead", "banner", "site", "logo"],
-        "footer": ["footer", "colophon", "copyright", "legal", "credits"],
-        "aside": ["sidebar", "aside", "widget", "related", "recommended", "popular", "complementary", "rail", "promo", "trending"],
-        "div": ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "cookie", "consent", "notice", "banner", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "share", "social", "sharing", "login", "gdpr", "privacy", "paywall"],
-        "section": ["comments", "comment", "discussion", "replies", "reply", "disqus", "respond", "responses", "related", "newsletter"],
-        "form": ["search", "login", "signup", "subscribe", "contact", "newsletter"],
-    }
-
     def other(tag: str) -> str:
         own = "div" if r.random() < 0.25 else tag
-        hint = "" if own == tag and tag != "div" and tag != "section" and r.random() < 0.5 else f' {r.choice(["class", "id"])}="{r.choice(around[tag])}{r.choice(["", " box", "-wrap", " x1"])}"'
+        hint = "" if own == tag and tag != "div" and tag != "section" and r.random() < 0.5 else f' {r.choice(["class", "id"])}="{r.choice(AROUND[tag])}{r.choice(["", " box", "-wrap", " " + word()])}"'
         inside = {
             "nav": menu,
             "header": lambda: r.choice([menu(), f"<h1>{words(1, 4)}</h1>", f"<p>{words(2, 9)}</p>"]),
             "footer": lambda: r.choice([words(3, 20), f"<p>{words(4, 30)}</p>", menu(), f"&copy; {word()} &middot; {words(3, 12)}"]),
             "aside": lambda: r.choice([f"<h3>{words(1, 4)}</h3>{menu()}", f"<p>{words(5, 60)}</p>", words(5, 40)]),
             "div": lambda: r.choice([words(3, 40), f"<p>{words(4, 40)}</p>", f"<p>{words(3, 20)}</p>{link()}", f"<span>{words(2, 14)}</span>"]),
-            "section": lambda: f"<h2>{words(1, 3)}</h2>" + "".join(f'<div class="{r.choice(["comment", "reply"])}"><p>{words(3, 50)}</p></div>' for _ in range(r.randint(1, 5))),
+            "section": lambda: f"<h2>{words(1, 3)}</h2>" + "".join(f'<div class="{r.choice(["comment", "reply"])}"><p>{words(3, 50)}</p></div>' for _ in range(r.randint(1, 5))) if r.random() < 0.6 else "".join(f"<p>{words(1, 40)}</p>" for _ in range(r.randint(1, 4))),
             "form": lambda: f"<label>{words(1, 4)}</label><input name=q><p>{words(1, 10)}</p>",
         }[tag]()
         return f'<{own}{hint} data-y="0">{inside}</{own}>'
 
+    def named() -> str:
+        """A class or id that tells nothing, or none."""
+        return r.choice(["", "", "", f' class="{word()}"', f' id="{word()}"', f' class="{r.choice(["row", "col", "inner", "wrap", "box", "block", "text", "para", "paragraph", "x1"])}"'])
+
+    def nested(inside: str) -> str:
+        """inside in divs, few or many."""
+        depth = r.choice([0, 0, 0, 0, 0, 0, 1, 1, 2, 3, 6, r.randint(10, 60)])
+        return "".join(f"<div{named()}>" for _ in range(depth)) + inside + "</div>" * depth
+
+    def short() -> list[str]:
+        """An article of a few blocks, of which each may stand in a div of its own."""
+        wrap = r.choice([lambda x: f"<p{named()}>{x}</p>", lambda x: f"<p>{x}</p>", lambda x: f"<p>{x}</p>", lambda x: f"<div{named()}>{x}</div>", lambda x: f"<div{named()}><p>{x}</p></div>", lambda x: r.choice([f"<p>{x}</p>", f"<div>{x}</div>"])])
+        blocks = [wrap(words(1, r.choice([4, 12, 30, 90]))) for _ in range(r.choice([1, 1, 1, 1, 2, 2, 3, 4, 6, 10]))]
+        return ([f"<h1>{words(1, 9)}</h1>"] if r.random() < 0.5 else []) + blocks
+
+    def small_article() -> str:
+        inner = "".join(short())
+        while r.random() < 0.5:
+            inner += other(r.choice(["section", "section", "section", "section", "div", "aside", "form"]))
+        kind = r.choice(["article", "article", "article", "article", "main", "main", "div", "section", ""])
+        if not kind:  # blocks straight in the body, each labelled
+            return "".join(re.sub(r"^<(\w+)", r'<\1 data-y="1"', block) for block in short())
+        hint = "" if kind in ("article", "main") and r.random() < 0.8 else r.choice([' class="content"', ' class="post"', ' class="entry text"', ' id="main"', named()])
+        return f'<{kind}{hint} data-y="1">{nested(inner)}</{kind}>'
+
     def article() -> str:
+        if r.random() < 0.6:
+            return small_article()
         inner = [f"<h1>{words(3, 12)}</h1>"] if r.random() < 0.8 else []
         if r.random() < 0.2:
             inner = [f"<header>{''.join(inner)}<p>{words(4, 20)}</p></header>"]
@@ -279,6 +297,8 @@ def labelled_pages(count: int = 160, seed: int = 11) -> list[str]:
         if r.random() < 0.7:
             before.insert(0, f'<nav data-y="0">{menu()}</nav>')
             after.append(other("footer"))
+        if r.random() < 0.1:  # nothing else on the page
+            before, after = [], []
         body = "".join([*before, article(), *after])
         if r.random() < 0.4:
             body = f'<div class="{r.choice(["wrapper", "container", "page", "layout"])}">{body}</div>'
@@ -344,7 +364,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     """One row per row of pages: id_col, the columns in keep, text (empty if none), n_chars (its code points).
 
     Null and empty pages have an empty text; broken markup is read as browsers do, unclosed comments and raw elements
-    reach the end. Repeated rows, ties and null ids stay as they are; other columns are left out. An empty table gives an empty one.
+    reach the end. Pages of any length and depth are read whole. Repeated rows, ties and null ids stay as they are; other columns are left
+    out, whatever their names. An empty table gives an empty one.
     """
     model = model or trained()
     rows = pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("_html"), F.col(id_col).alias("_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])

@@ -1,10 +1,10 @@
 """Language ID by unigrams over a fixed public vocabulary, with the segmentation summed out.
 
-A word is a run of letters, lower-cased, with a blank in front. Each language has a probability for every piece
-of the vocabulary (tokens of a public byte-level vocabulary: lower case, at most 8 bytes). The probability of a word
-is the sum over all its segmentations into pieces of the product of their probabilities, by the forward
-algorithm; probabilities are fitted by expectation maximisation (forward and backward over the words of a sample).
-A text's score for a language is the sum over all words of the whole text, plus the language's prior.
+A word is a run of letters and their marks in any script, lower-cased, with a blank in front. Each language has a probability
+for every piece of the vocabulary (tokens of a public byte-level vocabulary: lower case, at most 8 bytes, so that a piece is one number).
+The probability of a word is the sum over all its segmentations into pieces of the product of their probabilities, by the
+forward algorithm over the whole word, however long; probabilities are fitted by expectation maximisation (forward and backward
+over the words of a sample). A text's score for a language is the sum over all words of the whole text, plus the language's prior.
 
 Words repeat, so a worker runs the forward algorithm once for each distinct one it remembers, over all new words
 of a batch together.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from .words import _MASK, hash_words, lean, raw, slices, word_bounds
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: The sample: about so many rows a language (drawn by a hash of the id), its so many most frequent words, at most so many languages.
-ROWS, WORDS, LANGUAGES = 600, 30_000, 200
+#: The sample: about so many rows a language (drawn by a hash of the id), its so many most frequent words of at most so many characters.
+ROWS, WORDS, LONGEST = 600, 30_000, 100
 PIECE = 8  # bytes of the longest piece, so that a piece is one 64-bit number
-RUN = 24  # a longer run of letters is scored in stretches of so many bytes
+#: Cells of a lattice that are worked on at once; steps after which the forward sums are scaled anew.
+CELLS, SCALED = 4_000_000, 16
 ROUNDS = 6
 CACHE = 400_000
 SLICE = 1 << 20  # bytes of text worked on at once
@@ -56,13 +58,13 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1
 
 
-def _stretches(buf, starts, ends):
-    """Runs cut into stretches of RUN bytes: their starts, ends, and which run each is of."""
-    count = np.maximum((ends - starts + RUN - 1) // RUN, 1)
-    of = np.repeat(np.arange(len(starts)), count)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    a = starts[of] + nth * RUN
-    return a, np.minimum(a + RUN, ends[of]), of
+def letters(texts: pa.Array) -> pa.Array:
+    """Texts lower-cased, with blanks for all that is neither a letter nor a mark; of bytes from 128 on none else is left."""
+    texts = pc.utf8_lower(texts)
+    strange = pc.invert(pc.string_is_ascii(texts))
+    if pc.any(strange).as_py():
+        texts = pc.if_else(strange, pc.replace_substring_regex(texts, r"[^\p{L}\p{M}]+", " "), texts)
+    return texts
 
 
 def _lattice(buf, starts, size, keys):
@@ -83,7 +85,7 @@ def _lattice(buf, starts, size, keys):
 
 
 def _forward(lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha (words, places, languages). p has a last row of zeros for no piece."""
+    """alpha (words, places, languages) of short words. p has a last row of zeros for no piece."""
     words, size, _ = lattice.shape
     alpha = np.zeros((words, size + 1, p.shape[1]))
     alpha[:, 0] = 1
@@ -93,26 +95,47 @@ def _forward(lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def _backward(lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
-    words, size, _ = lattice.shape
-    beta = np.zeros((words, size + 1, p.shape[1]))
-    beta[:, size] = 1
-    for j in range(size - 1, -1, -1):
-        for n in range(1, min(PIECE, size - j) + 1):
-            beta[:, j] += beta[:, j + n] * p[lattice[:, j, n - 1]]
-    return beta
-
-
 def score_words(buf, starts, ends, keys, p) -> np.ndarray:
-    """Log probability of each word for each language."""
-    a, b, of = _stretches(buf, starts, ends)
+    """Log probability of each word for each language: the sum over all its segmentations."""
+    size = ends - starts
     out = np.zeros((len(starts), p.shape[1]))
-    size = b - a
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        for k in range(0, len(at), 10_000):
-            part = at[k : k + 10_000]
-            np.add.at(out, of[part], np.log(_forward(_lattice(buf, a[part], int(n), keys), p)[:, -1]))
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        # Words of nearly one length together; a shorter one is read off where it ends.
+        most = int(size[order[at]] * 1.25) + 2
+        stop = int(np.searchsorted(size[order], most, "right"))
+        stop = min(stop, at + max(1, CELLS // ((most + 1) * PIECE)))
+        part = order[at:stop]
+        out[part] = _score(buf, starts[part], size[part], keys, p)
+        at = stop
+    return out
+
+
+def _score(buf, starts, size, keys, p) -> np.ndarray:
+    """Log probabilities of words sorted by size. Sums of the last PIECE places are kept, scaled anew every SCALED steps."""
+    most, words = int(size[-1]), len(starts)
+    need = int(starts.max()) + most + 1
+    if need > len(buf):
+        buf = np.concatenate([buf, np.zeros(need - len(buf), np.uint8)])
+    lattice = _lattice(buf, starts, most, keys)
+    out, scale = np.zeros((words, p.shape[1])), np.zeros((words, p.shape[1]))
+    ring = np.zeros((PIECE, words, p.shape[1]))
+    ring[0] = 1
+    # A word of `size` bytes with its blank ends at place size + 1; the words before `done` have ended.
+    done = 0
+    for j in range(1, most + 2):
+        total = np.zeros((words - done, p.shape[1]))
+        for n in range(1, min(PIECE, j) + 1):
+            total += ring[(j - n) % PIECE, done:] * p[lattice[done:, j - n, n - 1]]
+        ring[j % PIECE, done:] = total
+        if j % SCALED == 0:
+            scale[done:] += np.log(total)
+            ring[:, done:] /= total
+        end = int(np.searchsorted(size, j - 1, "right"))
+        if end > done:
+            out[done:end] = np.log(ring[j % PIECE, done:end]) + scale[done:end]
+            done = end
     return out
 
 
@@ -122,22 +145,24 @@ def fit(words: list[tuple[str, str, int]], keys: np.ndarray, rounds: int = ROUND
     p = np.zeros((len(keys) + 1, len(languages)))
     total = np.zeros(len(keys) + 1)
     counts = []
-    for i, language in enumerate(languages):
-        own = [(w, n) for x, w, n in words if x == language]
-        buf, offsets = raw(pa.array([w for w, _ in own]))
-        a, b, of = _stretches(buf, offsets[:-1], offsets[1:])
-        weight = np.array([n for _, n in own], dtype=np.float64)[of]
-        groups = [(_lattice(buf, a[at], int(n), keys), weight[at]) for n in np.unique(b - a) for at in [np.flatnonzero(b - a == n)] if n]
+    own: dict[str, list] = {x: [] for x in languages}
+    for x, w, n in words:
+        own[x].append((w, n))
+    for language in languages:
+        buf, offsets = raw(pa.array([w for w, _ in own[language]]))
+        a, b = offsets[:-1], offsets[1:]
+        weight = np.array([n for _, n in own[language]], dtype=np.float64)
+        groups = []
+        for n in np.unique(b - a):
+            at = np.flatnonzero(b - a == n)
+            step = max(1, CELLS // ((int(n) + 1) * PIECE))
+            groups += [(_lattice(buf, a[at[i : i + step]], int(n), keys), weight[at[i : i + step]]) for i in range(0, len(at), step)] if n else []
         q = np.full(len(keys) + 1, 1 / len(keys))
         q[-1] = 0
         for _ in range(rounds):
             c = np.zeros(len(keys) + 1)
             for lattice, w in groups:
-                alpha, beta = _forward(lattice, q[:, None])[:, :, 0], _backward(lattice, q[:, None])[:, :, 0]
-                for j in range(lattice.shape[1]):
-                    for n in range(1, min(PIECE, lattice.shape[1] - j) + 1):
-                        x = lattice[:, j, n - 1]
-                        c += np.bincount(x, weights=w * alpha[:, j] * q[x] * beta[:, j + n] / alpha[:, -1], minlength=len(c))
+                _expect(lattice, q, w, c)
             c[-1] = 0
             q = (c + 0.01) / (c.sum() + 0.01 * len(keys))
             q[-1] = 0
@@ -150,19 +175,44 @@ def fit(words: list[tuple[str, str, int]], keys: np.ndarray, rounds: int = ROUND
     return languages, p
 
 
+def _expect(lattice: np.ndarray, q: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
+    """Adds the expected number of each piece in words of one length, weighted.
+
+    Each place's sums are divided by their own scale, forward and backward by the same, so that no word is too long.
+    """
+    words, size, _ = lattice.shape
+    alpha, beta, scale = np.zeros((size + 1, words)), np.zeros((size + 1, words)), np.ones((size + 1, words))
+    alpha[0] = 1
+    for j in range(1, size + 1):
+        # The product of the scales between the two places of a piece.
+        between = np.ones(words)
+        for n in range(1, min(PIECE, j) + 1):
+            alpha[j] += alpha[j - n] * q[lattice[:, j - n, n - 1]] / between
+            between = between * scale[j - n]
+        scale[j] = alpha[j]
+        alpha[j] = 1
+    beta[size] = 1
+    for j in range(size - 1, -1, -1):
+        between = np.ones(words)
+        for n in range(1, min(PIECE, size - j) + 1):
+            between = between * scale[j + n]
+            x = lattice[:, j, n - 1]
+            step = q[x] * beta[j + n] / between
+            beta[j] += step
+            counts += np.bincount(x, weights=weight * alpha[j] * step, minlength=len(counts))
+
+
 def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS, most: int = WORDS) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
-    """(language, word, count) of the sample, and how many rows each language has in all. Bounded by ROWS, WORDS and LANGUAGES."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    size = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
+    """(language, word, count) of the sample, and how many rows each language has in all. ROWS, WORDS and LONGEST bound it for each language."""
+    usable = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    sizes = usable.groupBy("lang").count()
+    size = {r[0]: r[1] for r in sizes.collect()}  # a row a language
     if not size:
         return [], {}
-    part = F.lit(0.0)
-    for lang, n in size.items():
-        part = F.when(F.col(lang_col) == lang, min(1.0, rows / n)).otherwise(part)
-    drawn = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30)) < part * (1 << 30))
-    # Letters other than a-z are bytes from 128 on; the same runs as in scoring.
-    word = F.explode(F.split(F.lower(F.col(text_col)), r"[\x00-\x60\x7b-\x7f]+")).alias("word")
-    counted = drawn.select(F.col(lang_col).alias("lang"), word).where("word <> ''").groupBy("lang", "word").count()
+    part = F.map_from_arrays(F.array(*[F.lit(x) for x in size]), F.array(*[F.lit(min(1.0, rows / n)) for n in size.values()]))
+    drawn = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(part, F.col("lang")) * (1 << 30))
+    word = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")
+    counted = drawn.select("lang", word).where(f"word <> '' and length(word) <= {LONGEST}").groupBy("lang", "word").count()
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     found = counted.withColumn("_n", top).where(F.col("_n") <= most).collect()  # at most `most` rows a language
     found = sorted((r["lang"], r["word"], r["count"]) for r in found)
@@ -206,14 +256,14 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
 
     if not languages:
         return rows.select(*own, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    mark = p.tobytes()[:4096] + repr(languages).encode()
+    mark = hashlib.sha256(repr(languages).encode() + p.tobytes()).digest()
 
     def run(batches):
         keys, names = pieces(), np.array([*languages, "und"])
         for batch in batches:
             for at, count in slices(batch.column(1), SLICE):
                 part = batch.slice(at, count)
-                buf, offsets = raw(pc.utf8_lower(part.column(1)), fold=False)
+                buf, offsets = raw(letters(part.column(1)), fold=False)
                 starts, ends, before = word_bounds(buf, offsets, _OUTSIDE)
                 total = np.tile(prior, (count, 1))
                 if len(starts):
@@ -223,8 +273,8 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                         total[:, i] += np.bincount(doc, weights=scores[number, i], minlength=count)
                 best = total.argmax(axis=1)
                 sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                letters = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
-                best, sure = np.where(letters, best, len(languages)), np.where(letters, sure, 0.0)
+                lettered = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                best, sure = np.where(lettered, best, len(languages)), np.where(lettered, sure, 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(names[best].tolist(), pa.string()), pa.array(sure, pa.float64())], names=[*[f"_{i}" for i in range(len(keep))], "lang_pred", "score"])
 
     schema = ", ".join([*[f"_{i} {types[f'_{i}']}" for i in range(len(keep))], "lang_pred string", "score double"])
@@ -246,8 +296,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Learns from text and non-null language of rows that are not held out. lang_pred is a learned value, und
     where the text is null or has no letter or nothing could be learned; score is the posterior probability, 0 for und.
-    Equal scores go to the first language by name. Repeated rows and null ids (held_out null) are scored like others; other columns
-    are left out. An empty table gives an empty one.
+    Equal scores go to the first language by name. Every language with a row to learn from can be predicted. Texts of any length are
+    scored whole. Repeated rows and null ids (held_out null) are scored like others; other columns
+    are left out, whatever their names. An empty table gives an empty one.
     """
     model = train(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(F.col(id_col)))
