@@ -1,20 +1,23 @@
 """Personal data in whole texts: exact patterns, extended by a skip-chain conditional random field.
 
-Nodes are a document's mentions: what the patterns found (labels given) and candidates that look like such data but
-fail a pattern (an address without a domain ending, a number without its plus or with parts left out). Neighbouring
-mentions share a transition potential; mentions that repeat or resemble each other (same digits at the end, same local part),
-however far apart, share a skip potential. Loopy sum-product passing makes labels consistent across the
-document, so a candidate takes the label of the data that it repeats. Unary, transition and skip weights are
-fitted on a sample of documents (at most SAMPLE, drawn by a hash) whose labels are the patterns' findings; what reaches the
-driver are counts of feature combinations, of which there is a fixed number.
+Nodes are the tokens that personal data could be: what the patterns found (labels given), strings that look like such data but
+fail a pattern (an address without a domain ending, a number without its plus or with parts left out), and other numbers of
+some length. Neighbouring nodes share a transition potential; nodes that repeat or resemble each other (same digits at the
+end, same local part), however far apart, share a skip potential; a node's own potential sees its shape and the word
+before it. Loopy sum-product passing makes labels consistent across the document. All weights are fitted together by pseudo-likelihood on a
+sample of documents (at most about SAMPLE, drawn by a hash): there the patterns' findings are labels, each once as it stands and once
+damaged (its ending, plus or last part left out), beside its original or alone, and once rewritten beside its original; what fails the patterns is no data. What
+reaches the driver are counts of feature combinations.
 
 The patterns' spans always stay; the field only adds spans.
 """
 
 from __future__ import annotations
 
+import ast
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -28,8 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE = 4000
 ROUNDS = 8
-#: Log odds for no label of a mention that fails its pattern; less than the skip potential of a repeated one has.
-FAILED = 6.0
+#: Buckets that the word before a node is hashed to, and the square penalty of the weights.
+CUES, PENALTY = 48, 2e-4
 
 # Matches begin at the first digit of a run, so that a long run is looked at once.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +42,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
 _HANDLE = re.compile(r"@[A-Za-z0-9-]+")
+_DIGITS = re.compile(r"(?<![0-9A-Za-z])[0-9][0-9().-]+[0-9](?![0-9A-Za-z])")
+_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]*$")
+_SHAPE = 14
 
 
 def luhn(digits: str) -> bool:
@@ -98,56 +104,97 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
             if s < m.start() and free(s, m.end()):
                 nodes.append((s, m.end(), -1))
                 last = m.end()
-    nodes += [(*m.span(), -1) for m in _NUMBER.finditer(text) if free(*m.span())]
+    numbers = [(*m.span(), -1) for m in _NUMBER.finditer(text) if free(*m.span())]
+    nodes += numbers
+    if nodes:
+        held = iter(sorted(numbers))
+        last = next(held, None)
+        for m in _DIGITS.finditer(text):
+            while last and last[1] <= m.start():
+                last = next(held, None)
+            if free(*m.span()) and not (last and last[0] < m.end()) and len(_digits(m.group())) > 3:
+                nodes.append((*m.span(), -1))
     nodes.sort()
     found = []
     for s, e, label in nodes:
-        t = text[s:e]
-        d = _digits(t)
-        at = "@" in t
-        features = (at, "+" in t, min(len(d), 20) // 4, t.count(".") == 3, "(" in t, "-" in t or " " in t, not at and 13 <= len(d) <= 19 and luhn(d))
-        found.append((s, e, label, features, "@" + t.split("@")[0].lower() if at else "#" + d[-7:]))
+        found.append((s, e, label, _features(text[s:e], text[max(0, s - 24) : s]), _key(text[s:e])))
     return found
 
 
+def _key(t: str) -> str:
+    """What nodes that resemble each other share."""
+    return "@" + t.split("@")[0].lower() if "@" in t else "#" + _digits(t)[-7:]
+
+
+def _features(t: str, before: str) -> tuple:
+    d, at = _digits(t), "@" in t
+    cue = _BEFORE.search(before)
+    shape = (at, "+" in t, min(len(d), 20) // 4, t.count("."), "(" in t, "-" in t or " " in t, not at and 13 <= len(d) <= 19 and luhn(d))
+    return (*shape[:3], min(shape[3], 3), *shape[4:], zlib.crc32(cue[1].lower().encode()) % CUES + 1 if cue else 0)
+
+
 def _featured(features: tuple) -> np.ndarray:
     """Indicator vector of one node's features."""
-    at, plus, size, dots, paren, gap, check = features
-    x = np.zeros(13)
+    at, plus, size, dots, paren, gap, check, cue = features
+    x = np.zeros(_SHAPE + CUES + 1)
     x[0] = 1
     x[1 + size] = 1
-    x[7:13] = at, plus, dots, paren, gap, check
+    x[7:_SHAPE] = at, plus, dots == 3, dots == 2, paren, gap, check
+    x[_SHAPE + cue] = 1
     return x
 
 
-def fit(nodes: dict, chain: dict, skip: dict, steps: int = 300) -> dict:
-    """Weights from counts: (features, label) -> n, (label, label) -> n of neighbours, agree -> n of similar pairs."""
-    x = np.array([_featured(f) for f, _ in nodes]) if nodes else np.zeros((0, 13))
-    y = np.array([max(label, 0) for _, label in nodes], dtype=int)
-    n = np.array(list(nodes.values()), dtype=float)
-    w = np.zeros((13, len(LABELS)))
+def damaged(kind: str, t: str) -> str:
+    """A mention as it may stand where its pattern doesn't find it."""
+    if kind == "email":
+        return t.rsplit(".", 1)[0] if t.split("@")[1].count(".") == 1 else t.split("@")[0] + "@" + t.split("@")[1].split(".")[0]
+    return t[1:] if kind == "phone" else t.rsplit(".", 1)[0] if kind == "ip" else t[:-1]
+
+
+def rewritten(kind: str, t: str) -> str:
+    """A mention as it may be repeated: a number without what leads it, in other groups."""
+    d = _digits(t)
+    if kind == "email":
+        return damaged(kind, t)
+    return "-".join(x for x in (d[-10:-7], d[-7:-4], d[-4:]) if x)
+
+
+def fit(rows: dict, steps: int = 300) -> dict:
+    """Weights from counts of (features, label before, label behind, labels of similar nodes, label): the gradient of the pseudo-likelihood."""
+    size = len(LABELS)
+    rows = {k: n for k, n in rows.items() if n}
+    x = np.array([_featured(k[0]) for k in rows]).reshape(len(rows), _SHAPE + CUES + 1)
+    ends = np.array([(k[1], k[2]) for k in rows], dtype=int).reshape(-1, 2)  # size stands for none there
+    twins = np.array([[min(k[3].count(j), 1) for j in range(size)] for k in rows], dtype=float).reshape(-1, size)
+    y, n = np.array([k[4] for k in rows], dtype=int), np.array(list(rows.values()), dtype=float)
+    w, chain, skip = np.zeros((_SHAPE + CUES + 1, size)), np.zeros((size + 1, size + 1)), 0.0
     w[0, 0] = 1.0  # without a sample: none
+    share = n / n.sum() if len(n) else n
+    seen = [np.full_like(w, 1e-8), np.full_like(chain, 1e-8), 1e-8]
     for _ in range(steps if len(n) else 0):
-        z = x @ w
+        z = x @ w + chain[ends[:, 0], :size] + chain[:size, ends[:, 1]].T + skip * twins
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        w -= 0.5 * (x.T @ (p * n[:, None]) / n.sum() + 1e-3 * w)
-    t = np.ones((len(LABELS), len(LABELS)))
-    for (a, b), k in chain.items():
-        t[max(a, 0), max(b, 0)] += k
-    # How far neighbours' labels depend on each other, beyond how frequent they are.
-    t = np.log(t * t.sum() / (t.sum(axis=1, keepdims=True) * t.sum(axis=0, keepdims=True)))
-    agree, differ = skip.get(True, 0) + 1, skip.get(False, 0) + 1
-    return {"unary": w, "chain": np.clip(t, -1, 1), "skip": float(np.clip(math.log(agree / differ), FAILED + 2, FAILED + 4))}
+        p *= share[:, None]
+        steep, links = np.zeros_like(chain), float((p * twins).sum()) + PENALTY * skip
+        np.add.at(steep, (ends[:, 0][:, None], np.arange(size)[None, :]), p)
+        np.add.at(steep, (np.arange(size)[None, :], ends[:, 1][:, None]), p)
+        own, steep = x.T @ p + PENALTY * w, steep + PENALTY * chain
+        seen = [seen[0] + own**2, seen[1] + steep**2, seen[2] + links**2]
+        w -= 0.3 * own / np.sqrt(seen[0])
+        chain -= 0.3 * steep / np.sqrt(seen[1])
+        skip -= 0.3 * links / math.sqrt(seen[2])
+    return {"unary": w, "chain": chain[:size, :size], "first": chain[size, :size], "last": chain[:size, size], "skip": float(skip)}
 
 
 def infer(nodes: list, model: dict, rounds: int = ROUNDS) -> np.ndarray:
     """Marginals (nodes, labels) by loopy sum-product. Nodes with a given label stay there."""
     size = len(LABELS)
     unary = np.array([_featured(f) for *_, f, _ in nodes]) @ model["unary"]
+    unary[0] += model["first"]
+    unary[-1] += model["last"]
     for i, (_, _, label, *_) in enumerate(nodes):
-        unary[i, 0] += FAILED
         if label >= 0:
             unary[i] = -50
             unary[i, label] = 0
@@ -157,7 +204,7 @@ def infer(nodes: list, model: dict, rounds: int = ROUNDS) -> np.ndarray:
     for i, node in enumerate(nodes):
         groups[node[4]].append(i)
     for at in groups.values():
-        # Similar mentions in a ring of neighbours by place: as many edges as mentions, and messages reach all of them;
+        # Similar nodes in a ring by place: as many edges as nodes, and messages reach all of them;
         # each open one is also tied to the group's first given one.
         given = next((i for i in at if nodes[i][2] >= 0), None)
         pairs = {(a, b) for a, b in zip(at, at[1:], strict=False)}
@@ -189,7 +236,7 @@ def infer(nodes: list, model: dict, rounds: int = ROUNDS) -> np.ndarray:
 def all_spans(text: str, base: list, model: dict) -> list[tuple[str, int, int]]:
     """The patterns' spans and those that the field adds, by kind and start."""
     nodes = mentions(text, base)
-    if any(n[2] < 0 for n in nodes) and any(n[2] >= 0 for n in nodes):
+    if any(n[2] < 0 for n in nodes):
         best = infer(nodes, model).argmax(axis=1)
         base = base + [(LABELS[k], s, e) for (s, e, label, *_), k in zip(nodes, best.tolist(), strict=True) if label < 0 and k]
     return sorted(base, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
@@ -199,21 +246,29 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _counts(texts):
-    nodes, chain, skip = Counter(), Counter(), Counter()
+def _counts(texts) -> Counter:
+    """(features, label before, label behind, labels of similar nodes, label) of the nodes of texts; similar open nodes of a given one are left out, since nobody knows."""
+    rows, size = Counter(), len(LABELS)
     for t in texts:
         found = mentions(t, base_spans(t))
-        given = {n[4] for n in found if n[2] >= 0}
-        for n in found:
-            if n[2] >= 0 or n[4] not in given:
-                nodes[n[3], n[2]] += 1
-        for a, b in zip(found, found[1:], strict=False):
-            chain[a[2], b[2]] += 1
-        first: dict = {}
+        given = defaultdict(list)
         for n in found:
             if n[2] >= 0:
-                skip[first.setdefault(n[4], n[2]) == n[2]] += 1
-    return nodes, chain, skip
+                given[n[4]].append(n[2])
+        labels = [size, *(max(n[2], 0) for n in found), size]
+        for i, (s, e, label, features, key) in enumerate(found):
+            ends = labels[i], labels[i + 2]
+            if label < 0:
+                if key not in given:
+                    rows[features, *ends, (), 0] += 1
+                continue
+            others = tuple(sorted(given[key][:]))
+            rows[features, *ends, tuple(x for k, x in enumerate(others) if k), label] += 1
+            broken = _features(damaged(LABELS[label], t[s:e]), t[max(0, s - 24) : s])
+            rows[broken, *ends, (), label] += 1
+            rows[broken, *ends, (label,), label] += 1
+            rows[_features(rewritten(LABELS[label], t[s:e]), t[max(0, s - 24) : s]), *ends, (label,), label] += 1
+    return rows
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
@@ -223,25 +278,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("pii")), F.lit(1 << 30)) < int(part * (1 << 30))).select(F.col(text_col).alias("_text"))
 
     def run(batches):
-        nodes, chain, skip = Counter(), Counter(), Counter()
+        total = Counter()
         for batch in batches:
-            for total, new in zip((nodes, chain, skip), _counts([t for t in batch.column(0).to_pylist() if t]), strict=True):
-                total.update(new)
-        rows = [("n", repr(k), v) for k, v in nodes.items()] + [("c", repr(k), v) for k, v in chain.items()] + [("s", repr(k), v) for k, v in skip.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["what", "k", "n"])
-
-    got = drawn.mapInArrow(run, "what string, k string, n long").groupBy("what", "k").agg(F.sum("n").alias("n")).collect()
-    import ast
+            total.update(_counts([t for t in batch.column(0).to_pylist() if t]))
+        yield pa.RecordBatch.from_arrays([pa.array([repr(k) for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
 
-    part_of = lambda what: {ast.literal_eval(r["k"]): r["n"] for r in sorted(got, key=lambda r: r["k"]) if r["what"] == what}
-    return fit(part_of("n"), part_of("c"), part_of("s"))
+    got = drawn.mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    return fit({ast.literal_eval(r["k"]): r["n"] for r in sorted(got, key=lambda r: r["k"])})
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None) -> DataFrame:
     """One row per row of docs: id_col, base and spans, arrays of (kind, start, end) by kind and start, in code points.
 
-    Null and empty texts have no spans. Repeated rows, ties and null ids stay as they are; other columns are left
-    out. An empty table gives an empty one.
+    Null and empty texts have no spans; texts of any length are read whole. Repeated rows, ties and null ids stay as they are; other
+    columns are left out, whatever their names. An empty table gives an empty one.
     """
     model = model or train(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -256,7 +306,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 for t in part.column(1).to_pylist():
                     found = base_spans(t)
                     base.append(row(found))
-                    every.append(row(all_spans(t, found, model)) if found else base[-1])
+                    every.append(row(all_spans(t, found, model)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, span), pa.array(every, span)], names=["_id", "base", "spans"])
 
     spans = "array<struct<kind: string, start: long, end: long>>"
