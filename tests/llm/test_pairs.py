@@ -54,11 +54,11 @@ def shingles(text, width=4):
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def plain_classes(docs):
-    sets, s = {i: shingles(t) for i, t in docs}, Sets()
+def plain_classes(docs, width=4, percent=85):
+    sets, s = {i: shingles(t, width) for i, t in docs}, Sets()
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 s.join(a, b)
     return {i: (len(sets[i]), s.find(i)) for i in sets}
 
@@ -105,6 +105,41 @@ def test_stars_of_short_texts(spark):
     assert got == plain_classes(docs)
 
 
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    r, gaps = random.Random(17), []
+    for n in (1, 5, 40, 400, 3000, 60_000):
+        x = {r.getrandbits(64) for _ in range(n)}
+        y = set(list(x)[: n * 8 // 10]) | {r.getrandbits(64) for _ in range(n // 10 + 1)}
+        a, b = jaccard._folded([jaccard._sketch(np.array(sorted(s), np.uint64)) for s in (x, y)])
+        gaps.append((int(np.bitwise_count(a ^ b).sum()), len(x ^ y)))
+    assert all(gap <= d for gap, d in gaps) and all(gap >= 0.8 * d for gap, d in gaps[:4])
+
+
+def test_families_just_below_the_threshold_give_few_pairs(spark):
+    """Texts of one base that all lie at 78 to 83 % of each other: no links, and no list of all pairs either."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(31)
+    word = lambda: f"w{r.getrandbits(30)}"
+    base, docs = [word() for _ in range(404)], []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(0, 400, 4), 11):
+            w[at] = word()
+        docs.append((i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in plain_classes(docs).items()}
+    root = "/" + common.shared_dir(spark).removeprefix("file:").lstrip("/")
+    folder = max(glob.glob(f"{root}/tidemark-jaccard-*"), key=os.path.getmtime)
+    pairs = sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{folder}/*-pairs/*.parquet"))
+    assert pairs < 5 * len(docs)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "z"), (None, None)], "doc_id long, text string")).collect()

@@ -60,7 +60,7 @@ def test_stages(spark, folder, tmp_path):
     for r in kept[1]:
         groups.setdefault(r[1].translate(FOLD), []).append(r[0])
     assert ids[2] == sorted(max(g) for g in groups.values())
-    classes = plain_classes([r[:2] for r in kept[2]])
+    classes = plain_classes([r[:2] for r in kept[2]], 5, 80)
     assert ids[3] == sorted(i for i, (_, c) in classes.items() if i == c) and len(ids[3]) < len(ids[2])
     leaks = {r[0] for r in kept[3] for x in items if decontam.myers(decontam.normalise(x), decontam.normalise(r[1]))[0] <= decontam.budget(decontam.normalise(x))}
     assert leaks and ids[4] == sorted(set(ids[3]) - leaks)
@@ -78,7 +78,16 @@ def test_stages_of_an_empty_table(spark, folder):
 
 
 def test_rows_go_by_id_and_null_ids_match(spark):
-    docs = spark.createDataFrame([(i, "t") for i in range(200)] + [(None, "n")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "t", 1, "x", i) for i in range(200)] + [(None, "n", 1, "x", 0)], "doc_id long, text string, _maybe int, _doc string, _id long")
     gone = spark.createDataFrame([(3,), (3,), (None,)], "doc_id long")
     assert corpus_pipeline.without(docs, gone).where(F.col("doc_id").isNull() | (F.col("doc_id") == 3)).count() == 0
     assert corpus_pipeline.without(docs, gone).count() == 199
+    assert corpus_pipeline.without(docs, gone).columns == docs.columns
+
+
+def test_stages_keep_columns_whatever_their_names(spark, folder):
+    path, docs, _ = folder
+    rows = [(*r, 1, "x", i) for i, r in enumerate(docs[:12])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _sha int, _gone string, _text long")
+    for _, stage in corpus_pipeline.STAGES[1:4:2]:
+        assert stage(spark, df, path).columns == df.columns and {tuple(r) for r in stage(spark, df, path).collect()} <= set(rows)
