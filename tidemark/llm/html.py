@@ -210,7 +210,7 @@ def extract_text(html: str, model: tuple[dict[str, float], list[list[float]]]) -
 
 
 def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
-    """Pages whose elements carry data-y="1" (content) or "0"; the label holds for what is below until another one."""
+    """Pages whose elements carry data-y="1" (content) or "0"; the label holds for what is below until another one. A page without any label is all content."""
     r = random.Random(seed)
     letters = "etaoinshrdlu"
     word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
@@ -292,6 +292,10 @@ def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(count):
+        if r.random() < 0.12:  # a fragment, or a body with nothing else in it
+            inside = r.choice(["".join(short()), words(1, r.choice([4, 30, 90])), f"<p>{words(1, 40)} <b>{words(1, 40)}"])
+            pages.append(r.choice([inside, inside, f'<html data-y="0"><head><title>{words(2, 8)}</title></head><body data-y="1">{inside}</body></html>']))
+            continue
         before = [other(r.choice(["nav", "header", "div", "form", "aside"])) for _ in range(r.randint(0, 4))]
         after = [other(r.choice(["aside", "section", "div", "footer", "nav", "form"])) for _ in range(r.randint(0, 4))]
         if r.random() < 0.7:
@@ -315,7 +319,7 @@ def fit(pages: list[str], rounds: int = 60, rate: float = 0.5) -> tuple[dict[str
     for html in pages:
         marks = iter([m[1] if (m := _LABEL.search(t[0])) else None for t in _TAG.finditer(html) if (t["name"] and not t["end"] and t["name"].lower() not in VOID)])
         nodes, parts = parse(html)
-        nodes[0].label = 0
+        nodes[0].label = int(not _LABEL.search(html))
         for node in nodes[1:]:
             mark = next(marks, None)
             node.label = nodes[node.parent].label if mark is None else int(mark)
