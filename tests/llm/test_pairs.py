@@ -71,6 +71,16 @@ def test_components_of_jaccard_links(spark, seed, limits):
     assert got == plain_classes(docs)
 
 
+@pytest.mark.parametrize("cheaper", [True, False])
+def test_regions_cut_or_in_blocks(spark, monkeypatch, cheaper):
+    """The result is the same whether large regions are all cut or all joined in blocks."""
+    monkeypatch.setattr(jaccard, "_worth", lambda stage, large, every, block: large.select("key").distinct().withColumn("cheaper", F.lit(cheaper)))
+    docs = corpus(2)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, limit=3, block=2).collect()}
+    assert got == plain_classes(docs)
+
+
 def test_partners_share_a_region():
     """The promise that the whole join rests on, for sets at the very edge of the threshold."""
     import numpy as np

@@ -12,7 +12,8 @@ region holds the documents at projected distance 0 from it.
 * Recursion. A region that holds several classes of documents and more than LIMIT of them is joined
   recursively: with one more region per document, partners share two, so the region is cut by each second one.
   Partners surely share as many regions of a band as it has sub-universes beyond k; a region is cut only while that
-  is more than the regions it was cut by. What then, or after DEEPEST cuts, still is too large is joined in blocks.
+  is more than the regions it was cut by, and where the parts cost less than the whole: many parts that hold nearly all of it would
+  compare the same pairs again and again. What is not cut, or still is too large after DEEPEST cuts, is joined in blocks.
 * Components first. Each class is compared with the centre that it shares most regions with, the links are
   joined into components, and only regions of several components are looked at further, one of those
   that hold the same classes. There each class is compared with its nearest one of another component, and the components
@@ -356,6 +357,14 @@ def _mixed(stage, regions, labels):
     return stage.write(rows.join(several, "key").select("key", "cid", "label", "m"), "mixed")
 
 
+def _worth(stage, large, every, block):
+    """The large regions (key, cheaper) that are cut, since their parts together cost less than their blocks do; a row that is moved counts like the `block` comparisons it serves."""
+    parts = large.join(every, "cid").select("key", "m", "path", "label", F.explode("all").alias("next")).where("not array_contains(path, next)")
+    parts = parts.groupBy("key", "m", "next").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("n")).where("u <> v")
+    cost = parts.groupBy("key").agg(F.first("m").alias("m"), F.sum(F.col("n") * (F.col("n") + block)).alias("cost"))
+    return stage.write(cost.where(F.col("cost") < F.col("m") * (F.col("m") + block * F.ceil(F.col("m") / block))).select("key", F.lit(True).alias("cheaper")), "worth")
+
+
 def _pairs(stage, mixed, sig, sets, plan, limit, deepest, block, nearest):
     """Pairs of different labels in mixed regions that no bound excludes; large regions are cut by further pivots first."""
     done, mixed = [], mixed.withColumn("path", F.array("key"))
@@ -367,13 +376,15 @@ def _pairs(stage, mixed, sig, sets, plan, limit, deepest, block, nearest):
             break
         # Partners in a region share another one only if its band, or that of a region it was cut by, has room for it.
         room = F.array_max(F.transform("path", lambda r: r.bitwiseAND(F.lit(ROOM))))
+        large = large.join(_worth(stage, large.where(room > level + 1), every, block), "key", "left") if level < deepest else large.withColumn("cheaper", F.lit(False))
+        large = large.withColumn("cheaper", F.coalesce("cheaper", F.lit(False)))
         count = F.ceil(F.col("m") / block).cast("int")
         own = F.pmod(F.xxhash64("cid"), count).cast("int")
-        dealt = (large if level == deepest else large.where(room <= level + 1)).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        dealt = large.where("not cheaper").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
         done.append(dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "cid", "label"))
         if level == deepest:
             break
-        cut = large.where(room > level + 1).join(every, "cid").select("path", "cid", "label", F.explode("all").alias("next")).where("not array_contains(path, next)")
+        cut = large.where("cheaper").join(every, "cid").select("path", "cid", "label", F.explode("all").alias("next")).where("not array_contains(path, next)")
         cut = cut.select(F.array_sort(F.array_append("path", F.col("next"))).alias("path"), "cid", "label").withColumn("key", F.xxhash64("path")).distinct()
         cut = stage.write(cut, "cut")
         several = stage.write(_several(cut), "several")
