@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, html, langid, pii, tokencount, warc
+from tidemark.llm import bpe, decontam, html, langid, pii, queries, tokencount, warc
 
 ODD = [None, "", " ", "\n\n", "a", "é🎯漢字", "word " * 20_000, "x" * 70_000, "don't  stop\t now <|endoftext|> ok", "0" * 3000, "\0\x1c\x85 a"]
 
@@ -112,6 +112,22 @@ def test_the_field_adds_what_repeats_or_stands_alike(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_the_query_counts_what_the_patterns_find(spark, tmp_path):
+    """Also where the field adds spans: those are in spans only."""
+    docs = [*enumerate(private_texts()), (900, "Call +1 (743) 555-3824 or 743-555-3824. Mail joe.x@a.com, joe.x@a now"), (901, "please call 44 (743) 555-3824 now"), (902, None), (903, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_pii(spark, str(tmp_path)).collect()}
+    added = 0
+    for i, t in docs:
+        base, r = plain_spans(t or ""), got[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in base) for kind in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(spans)
+        added += len(spans) - len(base)
+    assert added > 0
+
+
 def test_weights_tell_held_out_mentions():
     """Damaged mentions of held-out texts get their label, other numbers none."""
     texts = private_texts(600)

@@ -313,8 +313,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, base {spans}, spans {spans}").withColumnRenamed("_id", id_col)
 
 
-def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """find()'s rows as counts, a hash of the base spans, and all spans as one string."""
+def digest(found: DataFrame, id_col: str = "doc_id", counted: str = "spans") -> DataFrame:
+    """find()'s rows as counts (of all spans, or of those in the column `counted`), a hash of the base spans, and all spans as one string."""
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long")
+    count = lambda kind: F.size(F.filter(counted, lambda x: x.kind == kind)).cast("long")
     return found.select(id_col, *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
