@@ -150,6 +150,28 @@ def test_families_just_below_the_threshold_give_few_pairs(spark):
     assert pairs < 5 * len(docs)
 
 
+def test_regions_are_gathered_in_passes(spark):
+    """No one table holds most of the regions, each region is whole in one, and what is left is that of one pass."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    docs = corpus(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept, common.Stage.drop = common.Stage.drop, lambda self, df: None
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_classes(df).collect()}
+    finally:
+        common.Stage.drop = kept
+    assert got == plain_classes(docs)
+    root = "/" + common.shared_dir(spark).removeprefix("file:").lstrip("/")
+    folder = max(glob.glob(f"{root}/tidemark-jaccard-*"), key=os.path.getmtime)
+    keys = [{k for f in glob.glob(f"{d}/*.parquet") for k in pq.read_table(f, columns=["key"])["key"].to_pylist()} for d in glob.glob(f"{folder}/*-shared")]
+    assert len(keys) == jaccard.PASSES and all(keys)
+    assert sum(map(len, keys)) == len(set().union(*keys)) and max(map(len, keys)) < 0.5 * sum(map(len, keys))
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "z"), (None, None)], "doc_id long, text string")).collect()

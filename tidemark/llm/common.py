@@ -55,8 +55,19 @@ class Stage:
         out._staged_path = path
         return out
 
+    def write_parts(self, parts: list[DataFrame], name: str = "t") -> DataFrame:
+        """One table of several of the same schema, written one after the other: only one's shuffle files are there at a time."""
+        held = [self.write(part, name) for part in parts]
+        out = self.spark.read.schema(parts[0].schema).parquet(*[x._staged_path for x in held])
+        out._staged_parts = held
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later plan reads."""
+        for part in getattr(df, "_staged_parts", []):
+            self.drop(part)
+        if not hasattr(df, "_staged_path"):
+            return
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -42,6 +42,8 @@ ROOM = 3
 SKETCH = 1 << 17
 #: Bytes of sketches that one step of a task compares.
 STEP = 1 << 25
+#: Regions are gathered in so many passes, by their keys: their rows are the most that is shuffled, and only one pass's are on disk.
+PASSES = 4
 #: Centres with more partners than this are dealt to several tasks.
 FAN = 256
 
@@ -277,9 +279,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = _firsts(stage, sig.where("n > 0"), classes)
     region = Window.partitionBy("key")
     spread = firsts.select(F.col("_row").alias("cid"), F.explode("near").alias("key"))
-    shared = stage.write(
-        spread.withColumn("centre", F.min("cid").over(region)).withColumn("_last", F.max("cid").over(region)).where("centre <> _last").drop("_last"), "shared"
-    )
+    parts = [spread.where(F.pmod(F.shiftright("key", 8), F.lit(PASSES)) == i) for i in range(PASSES)]
+    gathered = [x.withColumn("centre", F.min("cid").over(region)).withColumn("_last", F.max("cid").over(region)).where("centre <> _last").drop("_last") for x in parts]
+    shared = stage.write_parts(gathered, "shared")
     sets = _bodies(stage, rows, classes, shared, width)
 
     # First round: the centre that a class shares most regions with.
