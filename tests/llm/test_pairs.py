@@ -284,3 +284,37 @@ def test_parity_bounds_the_difference(spark):
     for a, x in sets:
         for b, y in sets:
             assert sum((u ^ v).bit_count() for u, v in zip(words[a], words[b], strict=True)) <= len(set(x) ^ set(y))
+
+
+def test_sketches_of_lines_are_their_parities(spark):
+    r = random.Random(8)
+    lines = [(i, "".join(r.choice("abcdé ") for _ in range(r.choice([1, 7, 8, 40, 600])))) for i in range(40)]
+    texts = spark.createDataFrame(lines, "cid long, _line string")
+    got = {x.cid: (x.n, x.p) for x in linededup._sketches(texts).collect()}
+    sets = texts.select("cid", linededup.shingle_set(F.col("_line")).alias("s")).select("cid", F.size("s").alias("n"), linededup.parities(F.col("s")).alias("p"))
+    assert got == {x.cid: (x.n, x.p) for x in sets.collect()}
+
+
+def test_long_lines_just_below_the_threshold_give_few_pairs(spark):
+    """Lines of one base at 50 to 75 % of each other share buckets, but their pairs go without a look at the texts."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(37)
+    some = lambda n: [r.choice("abcdefghijklmnop") for _ in range(n)]
+    base, lines = some(900), []
+    for _ in range(100):
+        t = list(base)
+        for at in r.sample(range(0, 900, 10), 14):
+            t[at] = "q"
+        lines.append("".join(t))
+    lines += [lines[0] + "x", lines[1] + "y"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id: x.keep_id for x in linededup.line_classes(df).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i in range(len(lines))}
+    root = "/" + common.shared_dir(spark).removeprefix("file:").lstrip("/")
+    folder = max(glob.glob(f"{root}/tidemark-lines-*"), key=os.path.getmtime)
+    last = max(glob.glob(f"{folder}/*-pairs"))
+    assert sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{last}/*.parquet")) < 5 * len(lines)

@@ -26,9 +26,11 @@ from .common import Stage, bounded_filter, components, filter_size, keep_likely,
 ROWS, BANDS = 3, 10
 SHINGLE, PERCENT = 8, 80
 CENTRES, BLOCK = 2, 512
-PARITY = 4
+PARITY = 16
 #: Lines whose sets one task makes.
 LINES = 4096
+#: Buckets are gathered in so many passes, by their bands: their rows are the most that is shuffled, and only one pass's are on disk.
+PASSES = 3
 
 
 def normalised(line: Column) -> Column:
@@ -86,23 +88,31 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Equal lines go by the number of their first row.
     firsts = stage.write(seen.groupBy("h1", "h2").agg(F.min("_row").alias("cid"), F.min(place).alias("first"), F.count("*").alias("copies")), "firsts")
     own = Window.partitionBy("bucket")
-    spread = _first_rows(stage, seen, firsts).select(F.col("_row").alias("cid"), F.explode("buckets").alias("bucket"))
-    spread = spread.withColumn("centre", F.min("cid").over(own)).withColumn("_last", F.max("cid").over(own))
-    shared = stage.write(spread.where("centre <> _last").drop("_last"), "shared")
+    copied = firsts.where("copies > 1").select("h1")
+    size = filter_size(copied.count())
+    bits = stage.write(bounded_filter(copied, "h1", size), "bits")
+    parts = []
+    for i in range(min(PASSES, bands)):
+        some = F.array(*[F.col("buckets")[b] for b in range(i, bands, PASSES)])
+        spread = _first_rows(seen.select("_row", "h1", some.alias("buckets")), firsts, bits, size).select(F.col("_row").alias("cid"), F.explode("buckets").alias("bucket"))
+        spread = spread.withColumn("centre", F.min("cid").over(own)).withColumn("_last", F.max("cid").over(own))
+        parts.append(spread.where("centre <> _last").drop("_last"))
+    shared = stage.write_parts(parts, "shared")
     texts = _texts(stage, lines, key, shared, firsts)
+    sketches = stage.write(_sketches(texts), "sketches")
 
     links = None
     often = shared.where("cid <> centre").repartition("cid").groupBy("cid", "centre").agg(F.count("*").alias("times"))
     pairs = often.groupBy("cid").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("a")).select("a", F.col("cid").alias("b"))
     left = shared.select("bucket", "cid")
     for turn in range(CENTRES + 1):
-        found = _check(pairs, texts, percent)
+        found = _check(pairs, texts, sketches, percent)
         links = stage.write(found if links is None else links.union(found), "links")
         roots = stage.write(components(links, stage, native=True).withColumnRenamed("node", "cid"), "roots")
         if turn < CENTRES:
             left = _mixed(stage, left, roots)
-            pairs = stage.write(_centred(stage, left) if turn + 1 < CENTRES else _crossing(left, texts, percent), "pairs")
-    for done in (shared, texts, left):
+            pairs = stage.write(_centred(stage, left) if turn + 1 < CENTRES else _crossing(left, sketches, percent), "pairs")
+    for done in (shared, texts, sketches, left):
         stage.drop(done)
 
     named = firsts.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -114,11 +124,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _first_rows(stage: Stage, seen: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The rows of seen that stand for their line. Only rows of lines that may have copies are shuffled."""
-    copied = firsts.where("copies > 1").select("h1")
-    size = filter_size(copied.count())
-    marked = maybe(seen, F.col("h1"), stage.write(bounded_filter(copied, "h1", size), "bits"), size)
+def _first_rows(seen: DataFrame, firsts: DataFrame, bits: DataFrame, size: int) -> DataFrame:
+    """The rows of seen that stand for their line. Only rows of lines that may have copies, as the filter tells, are shuffled."""
+    marked = maybe(seen, F.col("h1"), bits, size)
     doubt = marked.where("_maybe").join(firsts.where("copies > 1").select("cid"), F.col("_row") == F.col("cid"), "left_semi")
     # A line that the filter holds in vain has no copies.
     alone = marked.where("_maybe").join(firsts.where("copies = 1").select("cid"), F.col("_row") == F.col("cid"), "left_semi")
@@ -126,7 +134,7 @@ def _first_rows(stage: Stage, seen: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _texts(stage: Stage, lines: DataFrame, key: list[Column], shared: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The lines that share a bucket, each once: cid, n (its shingles), p (their parities), _line."""
+    """The lines that share a bucket, each once: cid, _line."""
     active = stage.write(shared.select("cid").distinct().join(firsts.select("cid", "h1", "h2", F.xxhash64("first.i", "first.l").alias("at")), "cid"), "active")
     many = active.count()
     size = filter_size(many)
@@ -136,8 +144,15 @@ def _texts(stage: Stage, lines: DataFrame, key: list[Column], shared: DataFrame,
     wanted = keep_likely(lines.select(F.xxhash64("_id", "line_no").alias("_at"), "_line"), F.col("_at"), bits, size)
     # Where ids repeat, a place holds several lines, of which the hashes tell; and equal ones, of which one is enough.
     wanted = wanted.select("_at", "_line", *key).repartition(active_tasks, "h1", "h2").join(active, ["h1", "h2"]).where("_at = at").dropDuplicates(["h1", "h2"])
-    made = wanted.select("cid", "_line", shingle_set(F.col("_line")).alias("_set"))
-    return stage.write(made.select("cid", F.size("_set").alias("n"), parities(F.col("_set")).alias("p"), "_line"), "texts")
+    return stage.write(wanted.select("cid", "_line"), "texts")
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """Of each line: cid, n (its shingles), p (their parities). A row for each shingle, so that the folding is compiled; each line's are summed up in their own task."""
+    x = F.col("_x")
+    made = texts.select("cid", F.explode(shingle_set(F.col("_line"))).alias("_x"))
+    made = made.groupBy("cid").agg(F.count("*").cast("int").alias("n"), *[F.bit_xor(_parity(x, j)).alias(f"_p{j}") for j in range(PARITY)])
+    return made.select("cid", "n", F.array(*[F.col(f"_p{j}") for j in range(PARITY)]).alias("p"))
 
 
 def _mixed(stage: Stage, left: DataFrame, roots: DataFrame) -> DataFrame:
@@ -154,11 +169,15 @@ def _centred(stage: Stage, mixed: DataFrame) -> DataFrame:
     return mixed.join(drawn, "bucket").where("label <> c.label").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
 
 
+def _parity(x: Column, j: int) -> Column:
+    """What a shingle's hash flips in word j of the parities: one bit of one word."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.when(F.pmod(F.shiftright(x, 6), F.lit(PARITY)) == j, bit).otherwise(F.lit(0).cast("long"))
+
+
 def parities(shingles: Column) -> Column:
     """PARITY words of 64 bits: each bit the parity of the shingles that fall on it."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    word = lambda x: F.pmod(F.shiftright(x, 6), F.lit(PARITY))
-    fold = lambda j: F.aggregate(shingles, F.lit(0).cast("long"), lambda seen, x: F.when(word(x) == j, seen.bitwiseXOR(bit(x))).otherwise(seen))
+    fold = lambda j: F.aggregate(shingles, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(_parity(x, j)))
     return F.array(*[fold(j) for j in range(PARITY)])
 
 
@@ -170,12 +189,12 @@ def _may(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * gap <= (100 - percent) * (n + m))
 
 
-def _crossing(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _crossing(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different labels in a bucket that no bound excludes."""
     # Each line meets its own block and all others of its bucket, a pair of blocks in one task.
     count = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = mixed.withColumn("own", F.pmod(F.xxhash64("cid"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "cid", "label").join(texts.select("cid", "n", "p"), "cid")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "cid", "label").join(sketches, "cid")
     x, y = dealt.alias("x"), dealt.alias("y")
     met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "s", "t")]
     # A block meets itself with each pair once; two blocks meet as lower and upper.
@@ -189,11 +208,13 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _check(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose lines are near enough; the bounds are looked at before the sets are made."""
-    x, y = texts.alias("x"), texts.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid")).where(_may("x", "y", percent))
-    both = both.select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x._line").alias("x"), F.col("y._line").alias("y")).repartition(_tasks(pairs))
+def _check(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines are near enough; only those that the bounds leave open meet their texts."""
+    x, y = sketches.alias("x"), sketches.alias("y")
+    open_ = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, (F.col("b") == F.col("y.cid")) & _may("x", "y", percent))
+    open_ = open_.select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    first, second = texts.select(F.col("cid").alias("a"), F.col("_line").alias("x")), texts.select(F.col("cid").alias("b"), F.col("_line").alias("y"))
+    both = open_.join(first, "a").join(second, "b").repartition(_tasks(pairs))
     both = both.select("a", "b", (F.col("n") + F.col("m")).alias("n"), F.size(F.array_intersect(shingle_set(F.col("x")), shingle_set(F.col("y")))).alias("i"))
     return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
