@@ -172,6 +172,37 @@ def test_regions_are_gathered_in_passes(spark):
     assert sum(map(len, keys)) == len(set().union(*keys)) and max(map(len, keys)) < 0.5 * sum(map(len, keys))
 
 
+def test_no_more_on_disk_than_a_step_needs(spark, monkeypatch):
+    """Regions' keys are gone before the sets are made, sets are shuffled once to be told apart, and pairs are checked in passes that share no centre."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    docs, kept, there, plans, links = corpus(6), common.Stage.write, [], [], []
+
+    def write(self, df, name="t"):
+        if name == "sets":
+            there.extend(p.split("-", 1)[1] for p in os.listdir(self.root.removeprefix("file:")))
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = kept(self, df, name)
+        if name == "fans":
+            links.append(set(pq.read_table(out._staged_path.removeprefix("file:"))["a"].to_pylist()))
+        return out
+
+    monkeypatch.setattr(common.Stage, "write", write)
+    monkeypatch.setattr(jaccard, "CHECKED", 20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == plain_classes(docs)
+    assert "wanted" in there and "signatures" not in there
+    assert plans[0].count("Exchange hashpartitioning") == 2
+    assert links[0] and links[1] and not links[0] & links[1]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "z"), (None, None)], "doc_id long, text string")).collect()

@@ -42,8 +42,10 @@ ROOM = 3
 SKETCH = 1 << 17
 #: Bytes of sketches that one step of a task compares.
 STEP = 1 << 25
-#: Regions are gathered in so many passes, by their keys: their rows are the most that is shuffled, and only one pass's are on disk.
-PASSES = 4
+#: Regions are gathered in so many passes, by their keys, and at most as many check pairs: only one pass's rows or sets are shuffled and on disk.
+PASSES = 6
+#: Pairs that one pass checks, where PASSES allows.
+CHECKED = 20_000
 #: Centres with more partners than this are dealt to several tasks.
 FAN = 256
 
@@ -276,12 +278,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = stage.write(rows.mapInArrow(lean(run), schema).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     # Equal sets are one class, which goes by the number of its first row; what follows sees those rows only.
     classes = stage.write(sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_row").alias("cid"), F.min("_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    ids = stage.write(sig.drop("near", "more"), "ids")
     firsts = _firsts(stage, sig.where("n > 0"), classes)
     region = Window.partitionBy("key")
     spread = firsts.select(F.col("_row").alias("cid"), F.explode("near").alias("key"))
     parts = [spread.where(F.pmod(F.shiftright("key", 8), F.lit(PASSES)) == i) for i in range(PASSES)]
-    gathered = [x.withColumn("centre", F.min("cid").over(region)).withColumn("_last", F.max("cid").over(region)).where("centre <> _last").drop("_last") for x in parts]
+    gathered = [x.withColumn("centre", F.min("cid").over(region)).withColumn("_last", F.max("cid").over(region)).withColumn("m", F.count("*").over(region)).where("centre <> _last").drop("_last") for x in parts]
     shared = stage.write_parts(gathered, "shared")
+    every = _crowded(stage, sig, shared, limit)
+    stage.drop(sig)
     sets = _bodies(stage, rows, classes, shared, width)
 
     # First round: the centre that a class shares most regions with.
@@ -293,7 +298,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Second round: the nearest class of another component; third round: all that are left.
     refuted = None
     for nearest in (True, False):
-        pairs = stage.write(_pairs(stage, mixed, sig, sets, plan, limit, deepest, block, nearest), "pairs")
+        pairs = stage.write(_pairs(stage, mixed, every, sets, plan, limit, deepest, block, nearest), "pairs")
         if refuted is not None:
             pairs = stage.write(pairs.join(refuted, ["a", "b"], "left_anti"), "pairs")
         more = stage.write(_check(stage, pairs, sets, percent), "links")
@@ -301,15 +306,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if nearest:
             labels = stage.write(components(links, stage), "labels")
             mixed = _mixed(stage, mixed.select("key", "cid"), labels)
-    for done in (shared, sets, mixed):
+    for done in (shared, every, sets, mixed):
         stage.drop(done)
     roots = stage.write(components(links, stage).withColumnRenamed("node", "cid"), "roots")
     named = classes.select("cid", "h1", "h2", "n", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = stage.write(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = stage.write(named.join(least, "root").select("h1", "h2", "n", "component_id"), "named")
-    full = sig.where("n > 0").select("_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    full = ids.where("n > 0").select("_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     out = full.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return out.union(sig.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id")))
+    return out.union(ids.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id")))
 
 
 def _firsts(stage, sig, classes):
@@ -321,6 +326,14 @@ def _firsts(stage, sig, classes):
     return marked.where("not _maybe").select("_row", "near").union(doubt.select("_row", "near"))
 
 
+def _crowded(stage, sig, shared, limit):
+    """All regions (cid, all) of the classes in a region of more than `limit`, of a few others too: only such are cut. sig isn't shuffled."""
+    crowd = stage.write(shared.where(f"m > {limit}").select("cid").distinct(), "crowd")
+    size = filter_size(crowd.count())
+    bits = stage.write(bounded_filter(crowd, "cid", size), "bits")
+    return stage.write(keep_likely(sig.select(F.col("_row").alias("cid"), F.concat("near", "more").alias("all")), F.col("cid"), bits, size), "every")
+
+
 def _bodies(stage, rows, classes, shared, width):
     """Sets and sketches of all classes that share a region: (cid, n, body, sketch)."""
     active = shared.select("cid").distinct()
@@ -330,15 +343,25 @@ def _bodies(stage, rows, classes, shared, width):
     run, schema = _sets(width)
     # Of a class's copies the one whose id names it; where that id repeats, any of them, for the join's own keys.
     made = keep_likely(rows, F.col("_id"), bits, size).mapInArrow(lean(run), schema)
-    made = made.join(wanted, ["h1", "h2", "n"]).where("_id <=> rep").dropDuplicates(["h1", "h2", "n"])
+    # Spelled so that it is no key of the join: by the same keys as the rows are told apart they are shuffled once.
+    made = made.join(wanted, ["h1", "h2", "n"]).where("coalesce(_id = rep, _id is null and rep is null)").dropDuplicates(["h1", "h2", "n"])
     return stage.write(made.select("cid", "n", "body", "sketch"), "sets")
 
 
 def _check(stage, pairs, sets, percent):
-    """The pairs (a, b) that are links. Each centre's set is read once for up to FAN partners."""
+    """The pairs (a, b) that are links. In passes by their centres; only the sets that a pass needs are shuffled."""
     pairs = stage.write(pairs, "pairs")
+    count = min(PASSES, pairs.count() // CHECKED + 1)
+    found = [_part(stage, pairs.where(F.pmod(F.xxhash64("a", F.lit(1)), F.lit(count)) == i), sets, percent) for i in range(count)]
+    return stage.write_parts(found, "links") if count > 1 else found[0]
+
+
+def _part(stage, pairs, sets, percent):
+    """The links among pairs. Each centre's set is read once for up to FAN partners."""
     fans = stage.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan")), "fans")
-    bodies = sets.select("cid", "body")
+    named = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "named")
+    size = filter_size(named.count())
+    bodies = keep_likely(sets.select("cid", "body"), F.col("cid"), stage.write(bounded_filter(named, "cid", size), "bits"), size)
     partners = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
     partners = partners.join(bodies.withColumnRenamed("cid", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "body")
     centres = fans.join(bodies.withColumnRenamed("cid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "body")
@@ -367,10 +390,9 @@ def _worth(stage, large, every, block):
     return stage.write(cost.where(F.col("cost") < F.col("m") * (F.col("m") + block * F.ceil(F.col("m") / block))).select("key", F.lit(True).alias("cheaper")), "worth")
 
 
-def _pairs(stage, mixed, sig, sets, plan, limit, deepest, block, nearest):
+def _pairs(stage, mixed, every, sets, plan, limit, deepest, block, nearest):
     """Pairs of different labels in mixed regions that no bound excludes; large regions are cut by further pivots first."""
     done, mixed = [], mixed.withColumn("path", F.array("key"))
-    every = sig.select(F.col("_row").alias("cid"), F.concat("near", "more").alias("all"))
     for level in range(deepest + 1):
         done.append(mixed.where(f"m <= {limit}").select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "cid", "label"))
         large = mixed.where(f"m > {limit}")
