@@ -13,6 +13,8 @@ FILTER_BITS, FILTER_MOST = 1 << 23, 1 << 27
 _ROW_BITS = 32768
 #: Frees the shuffle files of a table once it is written.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to a Python worker at once: whole texts and sets among them, so fewer than the 10,000 that are usual.
+_BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 #: Edges that one task of the union-find takes.
 EDGES = 100_000
 
@@ -44,12 +46,15 @@ class Stage:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        before = self.spark.conf.get(_CLEANUP)
+        before = {k: self.spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
         self.spark.conf.set(_CLEANUP, "true")
+        if not 0 < int(before[_BATCH]) <= ROWS:
+            self.spark.conf.set(_BATCH, str(ROWS))
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         # The schema is known, so that an empty table reads back as well.
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import lean, slices
 
 EDIT_SHARE = 16  # one edit for so many characters
 BLOCK = 2_000_000
@@ -139,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         names=["_id", item_col, "distance", "item_chars", "ends_at"],
                     )
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(lean(run), schema)
         out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], schema)

@@ -40,6 +40,8 @@ LIMIT, DEEPEST, BLOCK = 1024, 2, 512
 ROOM = 3
 #: Bits of the largest sketch; larger sets have one as large, whose bound is weaker.
 SKETCH = 1 << 17
+#: Bytes of texts whose sets and regions a task makes at once: the arrays on the way are some dozens of times as large.
+TEXTS = 1 << 20
 #: Bytes of sketches that one step of a task compares.
 STEP = 1 << 25
 #: Regions are gathered in so many passes, by their keys, and at most as many check pairs: only one pass's rows or sets are shuffled and on disk.
@@ -142,7 +144,7 @@ def _signatures(width: int, plan: Plan):
 
     def run(batches):
         for batch in batches:
-            for at, count in slices(batch.column(1)):
+            for at, count in slices(batch.column(1), TEXTS):
                 part = batch.slice(at, count)
                 sets = shingles(part.column(1), width)
                 keys, marks = _region_keys(sets, plan), [_marks(s) for s in sets]
@@ -159,7 +161,7 @@ def _sets(width: int):
 
     def run(batches):
         for batch in batches:
-            for at, count in slices(batch.column(1)):
+            for at, count in slices(batch.column(1), TEXTS):
                 part = batch.slice(at, count)
                 sets = shingles(part.column(1), width)
                 marks = [_marks(s) for s in sets]
