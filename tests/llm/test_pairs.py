@@ -203,6 +203,17 @@ def test_no_more_on_disk_than_a_step_needs(spark, monkeypatch):
     assert links[0] and links[1] and not links[0] & links[1]
 
 
+def test_written_tables_go_to_workers_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"rows": [batch.num_rows]})
+
+    before = spark.conf.get(common._BATCH)
+    got = common.Stage(spark, "batches").write(spark.range(0, 9000, 1, 2).mapInArrow(sizes, "rows long")).collect()
+    assert sum(x.rows for x in got) == 9000 and max(x.rows for x in got) <= common.ROWS
+    assert spark.conf.get(common._BATCH) == before
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "z"), (None, None)], "doc_id long, text string")).collect()
