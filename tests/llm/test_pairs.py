@@ -360,3 +360,50 @@ def test_long_lines_just_below_the_threshold_give_few_pairs(spark):
     folder = max(glob.glob(f"{root}/tidemark-lines-*"), key=os.path.getmtime)
     last = max(glob.glob(f"{folder}/*-pairs"))
     assert sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{last}/*.parquet")) < 5 * len(lines)
+
+
+def test_bands_are_the_least_distinct_hashes_of_their_ranges(spark):
+    """Against a plain version: short lines, repeated shingles, ranges that lack hashes; as the method of the step is compiled, it must be small."""
+    r = random.Random(31)
+    texts = ["a", "ab cd", "x" * 500, "=-" * 200, "the end " * 40, "é" * 9] + ["".join(r.choice("abcdé ") for _ in range(r.choice([9, 20, 40, 90, 400, 3000]))) for _ in range(150)]
+    texts += [t[:60] * 8 for t in texts[-40:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "_row long, _line string")
+    whole = df.select("_row", F.sort_array(F.array_distinct(F.expr("transform(sequence(1, greatest(octet_length(_line) - 7, 1)), i -> hash(substring(cast(_line as binary), i, 8)))"))).alias("x"))
+    want = []
+    for i, x in ((v._row, v.x) for v in whole.collect()):
+        for b in range(10):
+            at = sum(h < (1 << 32) * b // 10 - (1 << 31) for h in x)
+            want.append((i, b, (x[at:] + x[:3])[:3]))
+    want = spark.createDataFrame(want, "_row long, b int, x array<int>").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("b", F.xxhash64("b", "x").alias("h")))).alias("s")).select("_row", "s.h")
+    got = {v._row: v.buckets for v in linededup.banded(df).collect()}
+    assert got == {v._row: v.h for v in want.collect()}
+
+
+def test_steps_of_lines_leave_large_methods_to_small_ones(spark, monkeypatch):
+    """The JVM compiles no method of over 8,000 bytes; the operator's tables are written with Spark's limit at that, and it is put back."""
+    key, seen, write = "spark.sql.codegen.hugeMethodLimit", [], linededup.Stage.write
+    before = spark.conf.get(key)
+    real = type(spark.range(1).write).parquet
+
+    def parquet(self, *args, **kwargs):
+        seen.append(spark.conf.get(key))
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", parquet)
+    linededup.line_classes(spark.createDataFrame([(1, "a line\na line")], "doc_id long, text string")).collect()
+    assert seen and set(seen) == {"8000"} and spark.conf.get(key) == before
+
+
+def test_only_texts_of_open_pairs_are_shuffled(spark):
+    """Texts of lines that no open pair names aren't asked for."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    stage = common.Stage(spark, "lines")
+    texts = spark.createDataFrame([(1, "one line that is here"), (2, "one line that is here!"), (3, "quite another line than those")], "cid long, _line string")
+    sketches = linededup._sketches(texts)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(x) for x in linededup._check(stage, pairs, texts, sketches, 80).collect()] == [(1, 2)]
+    folder = stage.root.removeprefix("file:")
+    assert sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{folder}/*-open/*.parquet")) == 1

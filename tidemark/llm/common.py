@@ -15,6 +15,8 @@ _ROW_BITS = 32768
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that go to a Python worker at once: whole texts and sets among them, so fewer than the 10,000 that are usual.
 _BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Methods of whole-stage code above so many bytes, which a JVM doesn't compile, give way to code in small methods; Spark's own limit is 65,535.
+_METHOD, BYTES = "spark.sql.codegen.hugeMethodLimit", 8000
 #: Edges that one task of the union-find takes.
 EDGES = 100_000
 
@@ -38,18 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
 class Stage:
     """Tables written under the shared folder, so that lineage ends there and a lost executor costs no more than its tasks."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, small_methods: bool = False):
         self.spark = spark
+        self.small_methods = small_methods
         self.root = f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
         self.n = 0
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        before = {k: self.spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
+        before = {k: self.spark.conf.get(k) for k in (_CLEANUP, _BATCH, _METHOD)}
         self.spark.conf.set(_CLEANUP, "true")
         if not 0 < int(before[_BATCH]) <= ROWS:
             self.spark.conf.set(_BATCH, str(ROWS))
+        if self.small_methods:
+            self.spark.conf.set(_METHOD, str(BYTES))
         try:
             df.write.parquet(path)
         finally:
