@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact and near duplicates, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents,
-with the rows that stay as they came. A stage sees all that the one before it kept.
+with the rows that stay as they came. A stage sees all that the one before it kept. The session's batches to Python workers are bounded
+(common.small_batches), since whole texts go there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, exactdedup, jaccard, langid
-from tidemark.llm.common import Stage, bounded_filter, filter_size, maybe, table
+from tidemark.llm.common import Stage, bounded_filter, filter_size, maybe, small_batches, table
 
 #: A text goes when it has no letter or when no language is likelier than this.
 LEAST_SCORE = 0.5
@@ -43,6 +44,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model[0]:  # nothing to learn from
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    small_batches(spark)
     found = langid.predict(docs, model, keep=tuple(docs.columns))
     return found.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(docs.columns)
 
@@ -91,6 +93,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text has no ids; null ids, repeated rows and very long texts are rows like others; an empty table gives an empty one.
     """
+    small_batches(spark)
     made = bpe.encode(docs, keep=("lang", "source"), decoded="decoded")
     return made.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, html, langid, pii, queries, tokencount, warc
+from tidemark.llm import bpe, decontam, html, langid, pii, queries, tokencount, warc, words
 
 ODD = [None, "", " ", "\n\n", "a", "é🎯漢字", "word " * 20_000, "x" * 70_000, "don't  stop\t now <|endoftext|> ok", "0" * 3000, "\0\x1c\x85 a"]
 
@@ -30,6 +30,20 @@ def test_ids_are_the_librarys(spark):
         assert bytes(r.decoded) == text.encode() and r.n_tokens == len(r.kept) // 4
 
 
+def test_workers_forget_what_other_stages_remember(monkeypatch):
+    def run(batches):
+        yield from batches
+
+    monkeypatch.setattr(run, "__module__", bpe.__name__)
+    bpe.encoding()
+    langid._seen[b"model"] = [np.zeros(1, np.uint64), np.zeros((1, 2))]
+    assert list(words.lean(run)([])) == []
+    assert not langid._seen and bpe.encoding.cache_info().currsize == 1
+    monkeypatch.setattr(run, "__module__", langid.__name__)
+    list(words.lean(run)([]))
+    assert bpe.encoding.cache_info().currsize == 0
+
+
 @pytest.mark.parametrize("leaf", [2, 3, 9, 40])
 def test_halves_join_wherever_they_are_cut(leaf):
     r, enc = random.Random(leaf), bpe.encoding()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontam
+from tidemark.llm import bpe, common, decontam
 
 from .test_pairs import FOLD, plain_classes
 
@@ -91,3 +91,18 @@ def test_stages_keep_columns_whatever_their_names(spark, folder):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _sha int, _gone string, _text long")
     for _, stage in corpus_pipeline.STAGES[1:4:2]:
         assert stage(spark, df, path).columns == df.columns and {tuple(r) for r in stage(spark, df, path).collect()} <= set(rows)
+
+
+def test_returned_tables_go_to_workers_in_small_batches(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    before = spark.conf.get(common._BATCH)
+    try:
+        for step in (corpus_pipeline.identify_language, corpus_pipeline.encode):
+            spark.conf.set(common._BATCH, "10000")
+            step(spark, docs, folder[0])
+            assert int(spark.conf.get(common._BATCH)) == common.ROWS
+            spark.conf.set(common._BATCH, "7")
+            step(spark, docs, folder[0])
+            assert int(spark.conf.get(common._BATCH)) == 7
+    finally:
+        spark.conf.set(common._BATCH, before)

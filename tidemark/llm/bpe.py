@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import lean, slices
+from .words import holds, lean, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 16_384
+#: Bytes of texts that a task encodes at once.
+TEXTS = 1 << 20
 WINDOW = 64
 
 
@@ -41,6 +43,9 @@ def encoding(path: str | None = None):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+holds(__name__, encoding.cache_clear)
+
+
 def _last_boundary(text: str, least: int) -> int:
     """The last proven boundary from `least` on, or -1."""
     at = len(text)
@@ -115,7 +120,7 @@ def encode(
     def run(batches):
         enc = encoding(vocabulary)
         for batch in batches:
-            for at, count in slices(batch.column(1)):
+            for at, count in slices(batch.column(1), TEXTS):
                 part = batch.slice(at, count)
                 ids = [encode_text(t, enc, leaf) for t in part.column(1).to_pylist()]
                 back = [pa.array([decode_ids(x, enc, leaf) for x in ids], pa.binary())] if decoded else []
@@ -136,7 +141,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", vocabu
     def run(batches):
         enc = encoding(vocabulary)
         for batch in batches:
-            for at, count in slices(batch.column(0)):
+            for at, count in slices(batch.column(0), TEXTS):
                 part = batch.slice(at, count)
                 made = pa.array([decode_ids(np.frombuffer(x.as_buffer(), "<u4"), enc, leaf) for x in part.column(0)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*[f"_{i}" for i in range(len(rest))], "_made"])

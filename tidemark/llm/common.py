@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that go to a Python worker at once to ROWS, from now on in this session: for tables that are returned unwritten, whose
+    reader's setting it is that counts. A smaller bound stays, and no result depends on it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS:
+        spark.conf.set(_BATCH, str(ROWS))
+
+
 class Stage:
     """Tables written under the shared folder, so that lineage ends there and a lost executor costs no more than its tasks."""
 
@@ -51,8 +58,7 @@ class Stage:
         path = f"{self.root}/{self.n:03d}-{name}"
         before = {k: self.spark.conf.get(k) for k in (_CLEANUP, _BATCH, _METHOD)}
         self.spark.conf.set(_CLEANUP, "true")
-        if not 0 < int(before[_BATCH]) <= ROWS:
-            self.spark.conf.set(_BATCH, str(ROWS))
+        small_batches(self.spark)
         if self.small_methods:
             self.spark.conf.set(_METHOD, str(BYTES))
         try:

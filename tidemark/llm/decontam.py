@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import lean, slices
+from .words import holds, lean, slices
 
 EDIT_SHARE = 16  # one edit for so many characters
 BLOCK = 2_000_000
@@ -77,6 +77,9 @@ def _automaton(items: tuple[str, ...], share: int):
     return machine
 
 
+holds(__name__, _automaton.cache_clear)
+
+
 def search(text: str, items: tuple[str, ...], share: int = EDIT_SHARE) -> list[tuple[int, int, int]]:
     """(item number, distance, end in the normalised text) of the best occurrence of each item within its budget."""
     places: dict[int, list[int]] = {}

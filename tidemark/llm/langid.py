@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import _MASK, hash_words, lean, raw, slices, word_bounds
+from .words import _MASK, hash_words, holds, lean, raw, slices, word_bounds
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The sample: about so many rows a language (drawn by a hash of the id), its so many most frequent words of at most so many characters.
@@ -220,6 +220,7 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, row
 
 
 _seen: dict[bytes, list] = {}
+holds(__name__, _seen.clear)
 
 
 def _lookup(buf, starts, ends, keys, p, mark: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,48 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+#: Blocks from so many bytes on are given back to the system as soon as they are free, and so is a free end of the heap.
+BLOCK = 1 << 20
+_held: dict[str, Callable[[], object]] = {}
+
+
+def holds(module: str, forget: Callable[[], object]) -> None:
+    """Says that a module's functions remember something between tasks, and how to forget it."""
+    _held[module] = forget
+
+
+def settle(module: str) -> None:
+    """Readies a worker for a module's stage: what other modules' stages remember is forgotten, and free memory goes back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    for other, forget in _held.items():
+        if other != module:
+            forget()
+    try:
+        libc = ctypes.CDLL(None)
+        # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD, which else grow with the blocks that are freed; M_ARENA_MAX.
+        for option, value in ((-3, BLOCK), (-1, BLOCK), (-8, 1)):
+            libc.mallopt(option, value)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def lean(run):
     """run, a function from Arrow batches to batches, with memory given back to the system as it goes: workers stay for later stages."""
+    module = run.__module__
 
     def wrapped(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
+        settle(module)
         try:
             yield from run(batches)
         finally:
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            trim()
 
     return wrapped
 
